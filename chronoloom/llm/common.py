@@ -91,8 +91,10 @@ def byte_table(separators: Iterable[int]) -> np.ndarray:
 
 #: Words are runs of digits, letters a-z (after folding) and bytes from 0x80.
 ALNUM = byte_table(b for b in range(128) if not (48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122))
-#: Words are runs of anything but white space. Byte 0 is a word byte there, kept apart as 0x01 is not needed: see ``Words``.
+#: Words are runs of anything but white space, byte 0 included (``Words`` sees to it).
 BLANK = byte_table([32, *range(9, 14)])
+#: The same without folding.
+BLANK_AS_IS = np.where(BLANK == 0, BLANK, np.arange(256, dtype=np.uint8))
 
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -126,16 +128,19 @@ class Words:
     factor of a word's place is divided out, which an odd base allows modulo 2**64.
     """
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> None:
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, table: np.ndarray, breaks: np.ndarray | None = None) -> None:
+        """``breaks``: positions at which a new word begins besides."""
         self.offsets = offsets
         self.data = folded = table[data]
         n = len(folded)
         inside = folded != 0
-        if table is BLANK:
+        if table[0] == 0 and table[1]:
             inside |= data == 0
         first = np.ones(n, bool)
         first[1:] = ~inside[:-1]
         cuts = offsets[:-1][offsets[:-1] < n]
+        if breaks is not None:
+            cuts = np.concatenate((cuts, breaks))
         first[cuts] = True
         last = np.ones(n, bool)
         last[:-1] = ~inside[1:]
