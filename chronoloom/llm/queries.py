@@ -7,14 +7,23 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, simhash, token_ids
-from .common import documents
+from . import decontaminate, exact_dedup, language, simhash, token_ids, toxicity
+from .common import documents, id_crc
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(documents(spark, sf_dir))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return toxicity.toxicity(documents(spark, sf_dir), labels, held_out=id_crc() % 3 == 1)
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.language_id(documents(spark, sf_dir), held_out=id_crc() % 4 == 2)
+
+
 def op7_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_ids.token_ids(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -29,6 +38,8 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
+    "op4_toxicity": op4_toxicity,
+    "op5_language_id": op5_language_id,
     "op7_token_ids": op7_token_ids,
     "op8_simhash": op8_simhash,
     "op10_decontamination": op10_decontamination,
