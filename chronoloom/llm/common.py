@@ -168,3 +168,55 @@ def hash_words(words: list[bytes], table: np.ndarray) -> np.ndarray:
     own = Words.__new__(Words)
     own.data, own.starts, own.ends = data, ends - np.array([len(w) for w in words], np.int64), ends
     return own.hashes()
+
+
+class Remembered:
+    """Ids of distinct words, remembered in a bounded table; ``fresh`` gives those of new words."""
+
+    def __init__(self, most: int, batch: int = 4096) -> None:
+        self.most, self.batch = most, batch
+        self._reset()
+
+    def fresh(self, words: list[bytes]) -> list[list[int]]:
+        raise NotImplementedError
+
+    def _reset(self) -> None:
+        self.slots: dict[bytes, int] = {}
+        self.at = np.zeros(1 << 16, np.int64)
+        self.size = np.zeros(1 << 16, np.int64)
+        self.pool = np.zeros(1 << 18, np.int32)
+        self.used = 0
+
+    def _learn(self, words: list[bytes]) -> None:
+        for k in range(0, len(words), self.batch):
+            part = words[k : k + self.batch]
+            ids = self.fresh(part)
+            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+            flat = np.fromiter((x for y in ids for x in y), np.int32, int(sizes.sum()))
+            n = len(self.slots)
+            while len(self.pool) < self.used + len(flat):
+                self.pool = np.concatenate((self.pool, np.zeros_like(self.pool)))
+            while len(self.at) < n + len(part):
+                self.at, self.size = (np.concatenate((x, np.zeros_like(x))) for x in (self.at, self.size))
+            self.pool[self.used : self.used + len(flat)] = flat
+            self.size[n : n + len(part)] = sizes
+            self.at[n : n + len(part)] = self.used + np.cumsum(sizes) - sizes
+            self.used += len(flat)
+            self.slots.update(zip(part, range(n, n + len(part)), strict=True))
+
+    def ids(self, words: Words, raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words, ids in each row); ``raw``: the bytes that ``words`` point into."""
+        rows = len(words.offsets) - 1
+        if not len(words):
+            return np.zeros(0, np.int32), np.zeros(rows, np.int64)
+        _, first, number = np.unique(words.hashes(), return_index=True, return_inverse=True)
+        distinct = [raw[a:z] for a, z in zip(words.starts[first].tolist(), words.ends[first].tolist(), strict=True)]
+        if len(self.slots) + len(distinct) > self.most:
+            self._reset()
+        slots = self.slots
+        self._learn(list({w for w in distinct if w not in slots}))
+        slot = np.fromiter((slots[w] for w in distinct), np.int64, len(distinct))[number]
+        sizes = self.size[slot]
+        ends = np.cumsum(sizes)
+        ids = self.pool[np.arange(int(ends[-1])) + np.repeat(self.at[slot] - ends + sizes, sizes)]
+        return ids, np.bincount(words.rows, sizes, rows).astype(np.int64)

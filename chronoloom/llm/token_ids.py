@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANK, BLANK_AS_IS, Words, buffers, chunks, shared_path
+from .common import BLANK, BLANK_AS_IS, Remembered, Words, buffers, chunks, shared_path
 
 MAGIC = b"RPGRAM1\n"
 END = 2
@@ -47,58 +47,24 @@ REMEMBERED = 1_200_000
 ROUNDS, PAIRS, LEAST = 6, 2048, 4
 
 
-class Encoder:
+class Encoder(Remembered):
     """Ids of words, by the tokenizers library, remembered."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
+        super().__init__(REMEMBERED)
         self.library = Tokenizer.from_file(path)
-        self._reset()
-
-    def _reset(self) -> None:
-        self.slots: dict[bytes, int] = {}
-        self.at = np.zeros(1 << 16, np.int64)
-        self.size = np.zeros(1 << 16, np.int64)
-        self.pool = np.zeros(1 << 18, np.int32)
-        self.used = 0
-
-    def _learn(self, words: list[bytes]) -> None:
-        for k in range(0, len(words), 4096):
-            part = words[k : k + 4096]
-            ids = [e.ids for e in self.library.encode_batch([w.decode() for w in part], add_special_tokens=False)]
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-            flat = np.fromiter((x for y in ids for x in y), np.int32, int(sizes.sum()))
-            n = len(self.slots)
-            while len(self.pool) < self.used + len(flat):
-                self.pool = np.concatenate((self.pool, np.zeros_like(self.pool)))
-            while len(self.at) < n + len(part):
-                self.at, self.size = (np.concatenate((x, np.zeros_like(x))) for x in (self.at, self.size))
-            self.pool[self.used : self.used + len(flat)] = flat
-            self.size[n : n + len(part)] = sizes
-            self.at[n : n + len(part)] = self.used + np.cumsum(sizes) - sizes
-            self.used += len(flat)
-            self.slots.update(zip(part, range(n, n + len(part)), strict=True))
+
+    def fresh(self, words: list[bytes]) -> list[list[int]]:
+        return [e.ids for e in self.library.encode_batch([w.decode() for w in words], add_special_tokens=False)]
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all rows, ids in each row)."""
         # The vocabulary is lower case, but the strings of its special tokens are not folded.
         table = BLANK_AS_IS if b"<|" in data.tobytes() else BLANK
         words = Words(data, offsets, table, breaks(data))
-        if not len(words):
-            return np.zeros(0, np.int32), np.zeros(len(offsets) - 1, np.int64)
-        _, first, number = np.unique(words.hashes(), return_index=True, return_inverse=True)
-        raw = np.where(words.data, words.data, data).tobytes()
-        distinct = [raw[a:z] for a, z in zip(words.starts[first].tolist(), words.ends[first].tolist(), strict=True)]
-        if len(self.slots) + len(distinct) > REMEMBERED:
-            self._reset()
-        self._learn(list({w for w in distinct if w not in self.slots}))
-        slots = self.slots
-        slot = np.fromiter((slots[w] for w in distinct), np.int64, len(distinct))[number]
-        sizes = self.size[slot]
-        ends = np.cumsum(sizes)
-        ids = self.pool[np.arange(int(ends[-1])) + np.repeat(self.at[slot] - ends + sizes, sizes)]
-        return ids, np.bincount(words.rows, sizes, len(offsets) - 1).astype(np.int64)
+        return self.ids(words, np.where(words.data, words.data, data).tobytes())
 
 
 _CLASS = np.zeros(256, np.uint8)  # 1: ASCII letter; 2: ASCII punctuation but ' < | >, which contractions and special tokens hold
