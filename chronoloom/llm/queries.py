@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, language, sentencepiece, simhash, token_counts, token_ids, toxicity
+from . import decontaminate, exact_dedup, language, line_dedup, sentencepiece, simhash, token_counts, token_ids, toxicity
 from .common import documents, id_crc
 
 
@@ -28,6 +28,11 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.language_id(documents(spark, sf_dir), held_out=id_crc() % 4 == 2)
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return line_dedup.line_dedup(docs).select("doc_id", "n_lines", "n_deleted", "text")
+
+
 def op7_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_ids.token_ids(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -50,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
     "op4_toxicity": op4_toxicity,
     "op5_language_id": op5_language_id,
+    "op6_line_dedup": op6_line_dedup,
     "op7_token_ids": op7_token_ids,
     "op8_simhash": op8_simhash,
     "op9_token_counts": op9_token_counts,
@@ -66,6 +72,33 @@ ORACLE: dict[str, str] = {
                sha256(norm) as text_sha256
         from t
     """,
+    "op6_line_dedup": r"""
+        with lines as (
+            select doc_id, n, split[n] as line, trim(regexp_replace(split[n], '[\x20\x09-\x0D]+', ' ', 'g'), ' ') as norm
+            from (select doc_id, split, unnest(generate_series(1, len(split))) as n
+                  from (select doc_id, string_split(coalesce(text, ''), chr(10)) as split from documents))
+        ), counted as (
+            select *, case when norm = '' then 0 else len(string_split(norm, ' ')) end as words from lines
+        ), summed as (
+            select *, sum(words) over (partition by doc_id order by n) as upto from counted
+        ), spans as (
+            select a.doc_id, a.n, min(b.n) as last
+            from summed a join summed b on a.doc_id = b.doc_id and b.n >= a.n and b.upto - a.upto + a.words >= 10
+            group by a.doc_id, a.n
+        ), runs as (
+            select s.doc_id, s.n, s.last, string_agg(l.norm, chr(10) order by l.n) as run
+            from spans s join lines l on l.doc_id = s.doc_id and l.n between s.n and s.last
+            group by s.doc_id, s.n, s.last
+        ), copies as (
+            select doc_id, n, last from (select *, row_number() over (partition by run order by doc_id, n) as copy from runs) where copy > 1
+        ), gone as (
+            select distinct l.doc_id, l.n from lines l join copies c on l.doc_id = c.doc_id and l.n between c.n and c.last
+        )
+        select l.doc_id, count(*) as n_lines, count(g.n) as n_deleted,
+               coalesce(string_agg(line, chr(10) order by l.n) filter (where g.n is null), '') as text
+        from lines l left join gone g on l.doc_id = g.doc_id and l.n = g.n
+        group by l.doc_id
+    """,
     "op10_decontamination": r"""
         with words as (
             select 'd' as kind, doc_id as id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents
