@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, language, line_dedup, sentencepiece, simhash, token_counts, token_ids, toxicity
+from . import decontaminate, exact_dedup, language, line_dedup, lm_score, sentencepiece, simhash, token_counts, token_ids, toxicity
 from .common import documents, id_crc
 
 
@@ -19,9 +19,13 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(documents(spark, sf_dir))
 
 
+def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.lm_score(documents(spark, sf_dir), held_out=id_crc() % 7 == 2, remainder=id_crc() % 7)
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return toxicity.toxicity(documents(spark, sf_dir), labels, held_out=id_crc() % 3 == 1)
+    return toxicity.toxicity(documents(spark, sf_dir), labels, held_out=lambda c: id_crc(c) % 3 == 1)
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,6 +57,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_lm_score": op3_lm_score,
     "op4_toxicity": op4_toxicity,
     "op5_language_id": op5_language_id,
     "op6_line_dedup": op6_line_dedup,

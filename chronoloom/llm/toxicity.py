@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import ALNUM, Words, buffers, chunks, mix
 
@@ -191,12 +192,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, usable: Column, id_col:
     return sample, {c: counts.get(c, 0) / total for c in (0, 1)}
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, held_out: Column | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, held_out, score, predicted. ``held_out``: rows of ``docs`` whose labels are not to be learnt from."""
+def scored(docs: DataFrame, labels: DataFrame, learnt: Column | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with ``_score`` added. ``learnt``: a condition on ``_id``, of the labels to learn from."""
     spark = docs.sparkSession
-    held = held_out if held_out is not None else F.lit(False)
-    usable = ~F.coalesce(F.crc32(F.col("_id").cast("string").cast("binary")) % 3 == 1, F.lit(False)) if held_out is not None else F.lit(True)
-    sample, priors = labelled_sample(docs, labels, usable, id_col, text_col)
+    sample, priors = labelled_sample(docs, labels, learnt if learnt is not None else F.lit(True), id_col, text_col)
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = train(batches, priors)
@@ -205,19 +204,25 @@ def toxicity(docs: DataFrame, labels: DataFrame, held_out: Column | None = None,
 
     models = sample.coalesce(1).mapInArrow(fit, "model binary").collect()  # one row, bounded like the sample
     book = spark.sparkContext.broadcast(models[0].model if models else None)
+    at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = curve = None
         if book.value is not None:
             model, curve = pickle.loads(book.value)
-        for b in chunks(batches, "t"):
+        for b in chunks(batches, text_col):
             if model is None:
                 scores = np.zeros(b.num_rows)
             else:
-                x = model.features(Words(*buffers(b.column(2)), ALNUM)) @ curve[:-1] + curve[-1]
+                x = model.features(Words(*buffers(b.column(at)), ALNUM)) @ curve[:-1] + curve[-1]
                 scores = 1 / (1 + np.exp(-np.clip(x, -30, 30)))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(scores), pa.array((scores >= THRESHOLD).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores)], [*b.schema.names, "_score"])
 
-    rows = docs.select(F.col(id_col).alias("d"), held.alias("h"), F.col(text_col).alias("t"))
-    kind = dict(rows.dtypes)["d"]
-    return rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int")
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("_score", T.DoubleType())]))
+
+
+def toxicity(docs: DataFrame, labels: DataFrame, held_out=None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, held_out, score, predicted. ``held_out``: from an id column's name, the rows whose labels are not to be learnt from."""
+    held = (lambda c: F.coalesce(held_out(c), F.lit(False))) if held_out is not None else (lambda c: F.lit(False))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    return scored(rows, labels, ~held("_id")).select("doc_id", held("doc_id").alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= THRESHOLD).cast("int").alias("predicted"))
