@@ -18,6 +18,11 @@ MAX_CODE = {"dict16": 65_535, "dict32": 2**31 - 1}
 MAX_ENCODED = 128
 
 
+def wide_literal(n: int) -> Column:
+    """Literals beyond signed 64 bits go in as text."""
+    return F.lit(str(n)).cast("decimal(20,0)")
+
+
 @dataclass(frozen=True)
 class KeyField:
     name: str
@@ -96,7 +101,7 @@ class KeyLayout:
             if not f.is_dictionary:
                 low, high = (-(2**63), 2**63 - 1) if f.kind == "int64" else (0, 2 ** (8 * f.width) - 1)
                 wide = F.col(f.name).cast("decimal(20,0)")
-                fits = wide.between(F.lit(low).cast("decimal(20,0)"), F.lit(high).cast("decimal(20,0)"))
+                fits = wide.between(wide_literal(low), wide_literal(high))
                 col = F.when(F.coalesce(fits, F.lit(False)), col).otherwise(F.raise_error(F.lit(f"key field {f.name} is null or out of range")))
             out = out.withColumn(f.name, col)
         return out
@@ -118,8 +123,8 @@ def encode_int(col: Column, width: int, signed: bool = False) -> Column:
     elif width == 8:
         # Unsigned 64 bits as two halves, since hex() takes signed numbers.
         wide = col.cast("decimal(20,0)")
-        high = F.floor(wide / F.lit(2**32).cast("decimal(20,0)")).cast("bigint")
-        low = (wide - high.cast("decimal(20,0)") * F.lit(2**32).cast("decimal(20,0)")).cast("bigint")
+        high = F.floor(wide / wide_literal(2**32)).cast("bigint")
+        low = (wide - high.cast("decimal(20,0)") * wide_literal(2**32)).cast("bigint")
         digits = F.concat(F.lpad(F.hex(high), 8, "0"), F.lpad(F.hex(low), 8, "0"))
     else:
         digits = F.hex(col.cast("bigint"))
@@ -131,8 +136,8 @@ def decode_int(col: Column, offset: int, width: int, signed: bool = False) -> Co
     digits = F.hex(F.substring(col, offset + 1, width))
     if width == 8:
         halves = [F.conv(F.substring(digits, k, 8), 16, 10).cast("decimal(20,0)") for k in (1, 9)]
-        wide = halves[0] * F.lit(2**32).cast("decimal(20,0)") + halves[1]
-        return (wide - F.lit(2**63).cast("decimal(20,0)")).cast("bigint") if signed else wide.cast("decimal(20,0)")
+        wide = halves[0] * wide_literal(2**32) + halves[1]
+        return (wide - wide_literal(2**63)).cast("bigint") if signed else wide.cast("decimal(20,0)")
     number = F.conv(digits, 16, 10).cast("bigint")
     return number - 2 ** (8 * width - 1) if signed else number
 

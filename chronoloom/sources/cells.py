@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import values as V
+from ..functions.keys import wide_literal
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -21,7 +22,7 @@ def unsigned_id(col: Column) -> Column:
     """A positive unsigned 64-bit id from a number or text; null where it is none."""
     text = F.trim(col.cast("string"))
     wide = F.when(text.rlike("^[0-9]{1,20}$"), text.cast("decimal(20,0)"))
-    return F.when((wide > 0) & (wide <= F.lit(2**64 - 1).cast("decimal(20,0)")), wide)
+    return F.when((wide > 0) & (wide <= wide_literal(2**64 - 1)), wide)
 
 
 def event_time(col: Column, kind: T.DataType) -> Column:
