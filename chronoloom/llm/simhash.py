@@ -284,3 +284,161 @@ def simhash_components(docs: DataFrame, size: int = SHINGLE, bits: int = BITS, i
     members = named.join(least, "root").select("fp", "component_id")
     return fps.join(members, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
+
+
+#: Tables of the similarity search, each keyed by the Golay keys of two segments of 23 bits.
+TABLES = 12
+WORDS = 9
+#: Buckets up to this many fingerprints are compared in pairs; of larger ones all are compared with the most central.
+STAR = 32
+
+
+def wide_fingerprint(hashes: np.ndarray) -> bytes:
+    """576 bits: the SimHash of the hashes, then those of their remixes."""
+    out, h = b"", hashes
+    for k in range(WORDS):
+        out += fingerprint(h).to_bytes(8, "little")
+        h = mix(hashes + np.uint64((k + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
+    return out
+
+
+def table_keys(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(key, row) for all tables: 4 bits of table, and the 12-bit codeword indices of its two segments."""
+    bits = np.unpackbits(np.ascontiguousarray(words).view(np.uint8), axis=1, bitorder="little")[:, : 2 * TABLES * 23]
+    segments = bits.reshape(len(words), 2 * TABLES, 23) @ (1 << np.arange(23, dtype=np.int64))
+    keys, rows = [], []
+    for t in range(TABLES):
+        a, b = golay().keys(segments[:, 2 * t]), golay().keys(segments[:, 2 * t + 1])
+        for i in range(6):
+            for j in range(6):
+                at = np.flatnonzero((a[:, i] >= 0) & (b[:, j] >= 0))
+                keys.append((t << 24 | a[at, i] << 12 | b[at, j]).astype(np.int32))
+                rows.append(at)
+    return np.concatenate(keys), np.concatenate(rows)
+
+
+def _unique_pairs(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    x, y = np.minimum(x, y), np.maximum(x, y)
+    order = np.lexsort((y, x))
+    x, y = x[order], y[order]
+    new = np.ones(len(x), bool)
+    new[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
+    return x[new], y[new]
+
+
+def bucket_pairs(keys: np.ndarray, fps: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct pairs that share a key and differ in at most ``bits`` bits of the fingerprint."""
+    order = np.argsort(keys, kind="stable")
+    keys, fps = keys[order], fps[order]
+    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
+    size = np.diff(np.append(first, len(keys)))
+    xs, ys = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
+    for at, n in zip(first[size > STAR].tolist(), size[size > STAR].tolist(), strict=True):
+        own = np.unique(fps[at : at + n])
+        votes = np.unpackbits(own[:, None].view(np.uint8), axis=1).mean(axis=0) > 0.5
+        centre = np.packbits(votes).view(np.uint64)[0]
+        hub = own[np.bitwise_count(own ^ centre).argmin()]
+        close = own[(np.bitwise_count(own ^ hub) <= bits) & (own != hub)]
+        xs.append(close)
+        ys.append(np.full(len(close), hub, np.uint64))
+    small = np.repeat(size <= STAR, size)
+    left = np.where(small, np.repeat(first + size, size) - np.arange(len(keys)) - 1, -1)
+    step, at = 1, np.flatnonzero(left >= 1)
+    while len(at):
+        x, y = fps[at], fps[at + step]
+        close = (np.bitwise_count(x ^ y) <= bits) & (x != y)
+        xs.append(x[close])
+        ys.append(y[close])
+        step += 1
+        at = at[left[at] >= step]
+    return _unique_pairs(np.concatenate(xs), np.concatenate(ys))
+
+
+def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id and component_id, linking documents whose sets of word shingles have a Jaccard similarity of ``similarity`` or more.
+
+    At a similarity of 0.8 some 15 % of the bits of two fingerprints differ, too many for the exact search above. So
+    fingerprints have 576 bits, and ``TABLES`` tables are each keyed by the Golay keys of two segments; a pair at 0.8
+    shares a key in one of them at least with a probability of about 0.99 (a segment's keys meet in 60 % of such pairs), and more so above. Candidates
+    must agree well enough on 64 bits, then on all 576, and at last the shingles themselves are compared, so
+    links are true ones. Documents of equal 64-bit fingerprints are one node. In a bucket of over ``STAR`` fingerprints each
+    is compared with the bucket's most central one only; a group meets in many buckets.
+
+    Keys travel as packed arrays, 12 bytes a key, dealt over the shuffle partitions by key.
+    """
+    spark = docs.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # Bits that may differ at the similarity, with four standard deviations for 64 and for all bits.
+    p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    most_64, most_all = (int(n * p + 4 * (n * p * (1 - p)) ** 0.5) for n in (64, 64 * WORDS))
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in chunks(batches, "t"):
+            wide = [wide_fingerprint(shingle_hashes(t, size)) for t in b.column(1).to_pylist()]
+            fps = np.array([int.from_bytes(w[:8], "little") for w in wide], np.uint64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64)), pa.array(wide, pa.binary())], ["doc_id", "fp", "bits"])
+
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for a in range(0, b.num_rows, 2048):
+                part = b.slice(a, 2048)
+                words = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint64).reshape(-1, WORDS)
+                keys, rows = table_keys(words)
+                fps = np.asarray(part.column(0)).view(np.uint64)[rows]
+                to = (mix(keys.astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
+                order = np.argsort(to, kind="stable")
+                keys, fps, ends = keys[order], fps[order], np.cumsum(np.bincount(to, minlength=parts))
+                full = np.flatnonzero(np.diff(ends, prepend=0))
+                spans = [(int(ends[k - 1]) if k else 0, int(ends[k])) for k in full.tolist()]
+                yield pa.RecordBatch.from_arrays([pa.array(full), pa.array([keys[x:z].tobytes() for x, z in spans], pa.binary()), pa.array([fps[x:z].tobytes() for x, z in spans], pa.binary())], ["part", "keys", "fps"])
+
+    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}
+        for b in batches:
+            for part, k, f in zip(*(b.column(n).to_pylist() for n in range(3)), strict=True):
+                own = held.setdefault(part, [[], []])
+                own[0].append(np.frombuffer(k, np.int32))
+                own[1].append(np.frombuffer(f, np.uint64))
+        while held:
+            _, (k, f) = held.popitem()
+            x, y = bucket_pairs(np.concatenate(k), np.concatenate(f), most_64)
+            for a in range(0, len(x), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(v[a : a + (1 << 16)].view(np.int64)) for v in (x, y)], ["a", "b"])
+
+    def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y = (np.frombuffer(b"".join(b.column(n).to_pylist()), np.uint64).reshape(-1, WORDS) for n in (2, 3))
+            keep = np.bitwise_count(x ^ y).sum(axis=1) <= most_all
+            yield b.select(["a", "b", "da", "db"]).filter(pa.array(keep))
+
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in chunks(batches, "t"):
+            sets = [np.unique(shingle_hashes(t, size)).tobytes() for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], ["doc_id", "set"])
+
+    def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = []
+            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
+            yield b.select(["node", "root"]).filter(pa.array(keep, pa.bool_()))
+
+    rows = docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).alias("t"))
+    sketches = cut(rows.mapInArrow(sketch, "doc_id long, fp long, bits binary"), "sketches")
+    nodes = cut(sketches.groupBy("fp").agg(F.min(F.struct("doc_id", "bits")).alias("x"), F.min("doc_id").alias("label")).select("fp", "label", F.col("x.doc_id").alias("first"), F.col("x.bits").alias("bits")), "nodes")
+    # The fingerprint of a text without words is zero, and no other text is compared with it.
+    blobs = nodes.where("fp <> 0").select("fp", "bits").mapInArrow(explode, "part long, keys binary, fps binary")
+    pairs = blobs.repartition(parts, "part").mapInArrow(pair, "a long, b long").distinct()
+    side = lambda c, d, w: nodes.select(F.col("fp").alias(c), F.col("first").alias(d), F.col("bits").alias(w))
+    candidates = pairs.join(side("a", "da", "wa"), "a").join(side("b", "db", "wb"), "b").select("a", "b", "wa", "wb", "da", "db")
+    close = cut(candidates.mapInArrow(agree, "a long, b long, da long, db long"), "candidates")
+    wanted = close.select(F.col("da").alias("d")).union(close.select("db")).distinct()
+    sets = cut(rows.join(wanted, "d", "left_semi").mapInArrow(shingles, "doc_id long, set binary").dropDuplicates(["doc_id"]), "shingles")
+    set_of = lambda c, s: sets.select(F.col("doc_id").alias(c), F.col("set").alias(s))
+    verified = close.join(set_of("da", "x"), "da").join(set_of("db", "y"), "db").select(F.col("b").alias("node"), F.col("a").alias("root"), "x", "y")
+    roots = components(verified.mapInArrow(similar, "node long, root long"))
+    named = nodes.select("fp", "label").join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "label", F.coalesce("root", "fp").alias("root"))
+    least = named.groupBy("root").agg(F.min("label").alias("component_id"))
+    return sketches.select("doc_id", "fp").join(named.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "component_id")

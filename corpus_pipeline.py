@@ -16,6 +16,8 @@ from chronoloom.llm.common import documents, id_crc, shared_path
 
 #: Words in a shingle of the near-duplicate stage.
 SHINGLE = 5
+#: Share of common shingles from which documents are near-duplicates.
+SIMILARITY = 0.8
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +34,7 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the smallest doc_id (and documents without an id, which cannot be named)."""
-    groups = simhash.simhash_components(docs, size=SHINGLE)
+    groups = simhash.near_duplicates(docs, SHINGLE, SIMILARITY)
     gone = groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id")
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
