@@ -9,13 +9,14 @@ depth 2n comes from its rank at depth n and that of the suffix n lines on. Ranks
 the distinct pairs, so a line that makes up a third of the corpus is one pair. Suffixes whose prefix is unique
 are dropped: nothing longer can repeat there. For any length, suffixes that share a prefix of it are an interval of the
 suffix array with that longest common prefix at least, and the ranks at the power of two below, at the prefix's
-start and at its end, name the interval. Every longer repeated run is the union of the shortest ones that have enough words, so
-for each suffix only the interval of that length is looked at, and doubling stops at the longest such length.
+start and at its end, name the interval. A line of a repeated run is in the shortest run with enough words from some line on, or
+it ends the shortest such run up to it, and both lie within the repeated run. So for each line only the intervals of these two
+lengths are looked at, and doubling stops at the longest of them.
 
 Lines compare after white space is trimmed and its runs become one blank, by 128 bits of hash. Nulls: a null text is
 an empty one; rows with a null id come first. Rows that agree in id and text are one document, and each takes its
 deletions. Empty texts and lines have no words and repeat freely. Ties cannot occur, as places are unique.
-An empty table gives an empty result. Columns that the operator adds while it works begin with an underscore.
+An empty table gives an empty result. Other columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import chunks, cut
 
@@ -39,7 +41,7 @@ def _text_key(text_col: str) -> Column:
 
 
 def lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(_d, _t, _n): document and line number; _h1, _h2: the line; _span: lines until there are enough words, 0 if there never are."""
+    """(_d, _t, _n): document and line number; _h1, _h2: the line; _span and _back: lines from it on, and up to it, until there are enough words; 0 if there never are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches, "text"):
@@ -59,14 +61,16 @@ def lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", t
             reach = np.searchsorted(sums, before + min_words)
             place = np.arange(len(words))
             span = np.where(reach < ends[doc], reach - place + 1, 0)
+            begin = np.searchsorted(before, sums - min_words, "right") - 1
+            back = np.where(begin >= (ends - per_doc)[doc], place - begin + 1, 0)
             hashes = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
             take = pa.array(doc)
-            cells = [b.column(0).take(take), b.column(1).take(take), *map(pa.array, (place - (ends - per_doc)[doc], hashes[:, 0], hashes[:, 1], span))]
+            cells = [b.column(0).take(take), b.column(1).take(take), *map(pa.array, (place - (ends - per_doc)[doc], hashes[:, 0], hashes[:, 1], span, back))]
             for at in range(0, len(words), 1 << 16):
-                yield pa.RecordBatch.from_arrays([c.slice(at, 1 << 16) for c in cells], [*_PLACE, "_h1", "_h2", "_span"])
+                yield pa.RecordBatch.from_arrays([c.slice(at, 1 << 16) for c in cells], [*_PLACE, "_h1", "_h2", "_span", "_back"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("_d"), _text_key(text_col).alias("_t"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "_d long, _t long, _n long, _h1 long, _h2 long, _span long").withColumn("_d", F.coalesce("_d", F.lit(-(1 << 63)).cast("long")))
+    return rows.mapInArrow(run, "_d long, _t long, _n long, _h1 long, _h2 long, _span long, _back long").withColumn("_d", F.coalesce("_d", F.lit(-(1 << 63)).cast("long")))
 
 
 def _ranked(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -86,8 +90,8 @@ def doubled(ranks: DataFrame, depth: int) -> DataFrame:
 
 def later_copies(all_lines: DataFrame) -> DataFrame:
     """(_d, _t, _n, _span): runs of _span lines, with enough words, that occur earlier too."""
-    places = all_lines.select(*_PLACE, "_span")
-    longest = all_lines.agg(F.max("_span")).first()[0] or 0
+    places = all_lines.select(*_PLACE, "_span").union(all_lines.where("_back > 1").select("_d", "_t", F.col("_n") - F.col("_back") + 1, "_back"))
+    longest = all_lines.agg(F.max(F.greatest("_span", "_back"))).first()[0] or 0
     ranks = _ranked(all_lines.select(*_PLACE, "_h1", "_h2"), ["_h1", "_h2"])
     found, depth = None, 1
     while depth <= longest:
@@ -113,15 +117,16 @@ def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_i
     covered = later_copies(all_lines).select("_d", "_t", F.explode(F.sequence("_n", F.col("_n") + F.col("_span") - 1)).alias("_n")).distinct()
     # A document's deleted lines are no more than its lines.
     gone = covered.groupBy("_d", "_t").agg(F.array_sort(F.collect_list("_n")).alias("_gone"))
-    keyed = docs.withColumn("_d", F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)).cast("long"))).withColumn("_t", _text_key(text_col))
-    joined = keyed.join(gone, ["_d", "_t"], "left").drop("_d", "_t")
-    names = [c for c in joined.columns if c != "_gone"]
-    text_at, gone_at = joined.columns.index(text_col), joined.columns.index("_gone")
+    # The columns go by number meanwhile, so that none clashes with those added here.
+    names = docs.columns
+    text_at, numbered = names.index(text_col), [f"c{k}" for k in range(len(names))]
+    keyed = docs.toDF(*numbered).withColumns({"_d": F.coalesce(F.col(numbered[names.index(id_col)]).cast("long"), F.lit(-(1 << 63)).cast("long")), "_t": _text_key(numbered[text_at])})
+    joined = keyed.join(gone, ["_d", "_t"], "left").select(*numbered, "_gone")
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in chunks(batches, text_col):
+        for b in chunks(batches, numbered[text_at]):
             texts, n_lines, n_gone = [], [], []
-            for text, lost in zip(b.column(text_at).to_pylist(), b.column(gone_at).to_pylist(), strict=True):
+            for text, lost in zip(b.column(text_at).to_pylist(), b.column(len(names)).to_pylist(), strict=True):
                 own = (text or "").split("\n")
                 n_lines.append(len(own))
                 n_gone.append(len(lost or ()))
@@ -129,11 +134,11 @@ def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_i
                     drop = set(lost)
                     own = [x for k, x in enumerate(own) if k not in drop]
                 texts.append("\n".join(own))
-            cells = [c for k, c in enumerate(b.columns) if k != gone_at]
-            cells[names.index(text_col)] = pa.array(texts, pa.string())
+            cells = b.columns[:-1]
+            cells[text_at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays([*cells, pa.array(n_lines, pa.int64()), pa.array(n_gone, pa.int64())], [*names, "n_lines", "n_deleted"])
 
-    schema = joined.drop("_gone").schema.add("n_lines", "long").add("n_deleted", "long")
+    schema = T.StructType([*docs.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_deleted", T.LongType())])
     return joined.mapInArrow(rebuild, schema)
 
 

@@ -90,9 +90,13 @@ ORACLE: dict[str, str] = {
             select a.doc_id, a.n, min(b.n) as last
             from summed a join summed b on a.doc_id = b.doc_id and b.n >= a.n and b.upto - a.upto + a.words >= 10
             group by a.doc_id, a.n
+        ), backs as (
+            select a.doc_id, max(b.n) as n, a.n as last
+            from summed a join summed b on a.doc_id = b.doc_id and b.n <= a.n and a.upto - b.upto + b.words >= 10
+            group by a.doc_id, a.n
         ), runs as (
             select s.doc_id, s.n, s.last, string_agg(l.norm, chr(10) order by l.n) as run
-            from spans s join lines l on l.doc_id = s.doc_id and l.n between s.n and s.last
+            from (select * from spans union select * from backs) s join lines l on l.doc_id = s.doc_id and l.n between s.n and s.last
             group by s.doc_id, s.n, s.last
         ), copies as (
             select doc_id, n, last from (select *, row_number() over (partition by run order by doc_id, n) as copy from runs) where copy > 1
