@@ -44,7 +44,7 @@ BANDS = (30, 300, 3000)
 #: Training documents in this remainder (of 7) train the scales; the rest gives the counts.
 DEVELOPMENT, ROUNDS = 3, 4
 #: Most frequent words that are broadcast with their counts (12 bytes each).
-KNOWN = 1_000_000
+KNOWN = 250_000
 #: Weight of the class distribution in a feature's smoothed one.
 PRIOR = 20.0
 END = np.uint64(0xE0D)
