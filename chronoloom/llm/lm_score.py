@@ -10,8 +10,8 @@ training corpus; a scale for each template and frequency band of features is the
 distributed gradient updates (each with the curvature, so a round is a Newton step) on documents that those
 counts leave out. Scoring works in batches of sparse rows of the weight table.
 
-Counts are exact and cover all training documents; words are told apart by 64 bits of hash. The ``KNOWN`` most
-frequent words are broadcast; the counts of all rarer ones are joined in by word, aggregated per document before.
+Counts are exact and cover all training documents; words are told apart by 64 bits of hash. At most ``KNOWN``
+words, the most frequent ones, are broadcast; the counts of all rarer ones are joined in by word, aggregated per document before.
 What is broadcast is bounded by ``KNOWN`` and by the model's fixed size, whatever the corpus.
 
 Nulls: a null or empty text is its end token alone. Rows with a null id train (their remainder is unknown, hence not
@@ -230,6 +230,21 @@ def train_scales(docs: DataFrame, model: Model) -> Model:
     return model
 
 
+def frequent(words: DataFrame, most: int) -> DataFrame:
+    """(h, c) of the words in the upper bands of frequency, as many whole bands as have ``most`` words at most.
+
+    Bands are eighths of a power of two, so a few hundred numbers find the border and nothing is sorted.
+    """
+    band = F.floor(F.log2(F.col("c")) * 8)
+    left, border = most, None
+    for row in sorted(words.groupBy(band.alias("b")).count().collect(), key=lambda r: -r.b):
+        left -= row["count"]
+        if left < 0:
+            break
+        border = row.b
+    return words.where(band >= border if border is not None else F.lit(False)).select("h", F.col("c").cast("long").alias("c"))
+
+
 def lm_score(docs: DataFrame, held_out: Column, remainder: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score. ``remainder``: deals training documents into 7 parts."""
     spark = docs.sparkSession
@@ -238,7 +253,7 @@ def lm_score(docs: DataFrame, held_out: Column, remainder: Column, id_col: str =
     training = rows.where("not held")
     words = cut(vocabulary(training), "vocabulary")
     n, v = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    known = words.orderBy(F.desc("c"), "h").limit(KNOWN).select("h", F.col("c").cast("long").alias("c")).toArrow()
+    known = frequent(words, KNOWN).toArrow()
     hashes, counts = np.asarray(known.column("h")).view(np.uint64), np.asarray(known.column("c"))
     leading = hashes[np.lexsort((hashes.view(np.int64), -counts))][: SINGLE - 1]
     singles = np.unique(np.append(leading[leading != END], END))
