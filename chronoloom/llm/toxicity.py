@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 from .common import ALNUM, Words, buffers, chunks, mix
 
 #: Expected number of labelled rows of each class, at most, from which a model is fitted.
-SAMPLE = {0: 6000, 1: 6000}
+SAMPLE = {0: 4000, 1: 4000}
 WINDOWS = (1, 4, 16)
 #: Bytes of the prefixes; the whole word comes last.
 PREFIXES = (3, 4, 5, 6, 7, 8, 10, 12)
