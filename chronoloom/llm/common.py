@@ -6,6 +6,8 @@ The byte helpers read the buffers of Arrow string columns in place, so a batch o
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -30,6 +32,25 @@ def id_crc(col: str = "doc_id") -> Column:
     return F.crc32(F.col(col).cast("string").cast("binary"))
 
 
+_kept: dict = {}
+
+
+def kept(key: object, make=lambda: None):
+    """What a worker process keeps from task to task under ``key``: one thing at a time.
+
+    Workers serve all stages of a job. Whatever another operator left is dropped and its memory handed back, so
+    that a pipeline needs no more than its largest stage.
+    """
+    if key not in _kept:
+        _kept.clear()
+        gc.collect()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+        _kept[key] = make()
+    return _kept[key]
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new folder name below the cluster's shared checkpoint folder, which is set only where unset."""
     root = spark.sparkContext.getCheckpointDir()
@@ -130,7 +151,7 @@ class Words:
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, table: np.ndarray, breaks: np.ndarray | None = None) -> None:
         """``breaks``: positions at which a new word begins besides."""
-        self.offsets = offsets
+        self.offsets, self.sums = offsets, None
         self.data = folded = table[data]
         n = len(folded)
         inside = folded != 0
@@ -154,9 +175,10 @@ class Words:
         return len(self.starts)
 
     def hashes(self) -> np.ndarray:
-        n = len(self.data)
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(_SALT[self.data] * _powered(_MULT, n), out=sums[1:])
+        n, sums = len(self.data), self.sums
+        if sums is None:
+            sums = self.sums = np.zeros(n + 1, np.uint64)
+            np.cumsum(_SALT[self.data] * _powered(_MULT, n), out=sums[1:])
         raw = (sums[self.ends] - sums[self.starts]) * _powered(_INV, n + 1)[self.starts]
         return mix(raw + (self.ends - self.starts).astype(np.uint64))
 
@@ -166,6 +188,7 @@ def hash_words(words: list[bytes], table: np.ndarray) -> np.ndarray:
     data = table[np.frombuffer(b"".join(words), np.uint8)] if words else np.zeros(0, np.uint8)
     ends = np.cumsum([len(w) for w in words], dtype=np.int64)
     own = Words.__new__(Words)
+    own.sums = None
     own.data, own.starts, own.ends = data, ends - np.array([len(w) for w in words], np.int64), ends
     return own.hashes()
 

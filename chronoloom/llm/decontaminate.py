@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, Words, buffers, chunks, hash_words
+from .common import ALNUM, Words, buffers, chunks, hash_words, kept
 
 SEGMENT = "doc_ids binary, has_id binary, n_words binary, keys binary"
 #: Words of benchmark text that one broadcast may hold (some 40 bytes each); a larger benchmark is searched in parts.
@@ -94,6 +94,7 @@ def build_segments(docs: DataFrame, phrases, id_col: str = "doc_id", text_col: s
     """
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept("decontaminate")
         book: Phrases = phrases.value
         for b in chunks(batches, "t"):
             words = Words(*buffers(b.column(1)), ALNUM)
@@ -169,6 +170,7 @@ def search(segments: DataFrame, phrases, slop: int = 0) -> DataFrame:
     schema = "doc_id long, n_words long, hit_from array<long>, hit_to array<long>, items array<string>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept("decontaminate")
         book: Phrases = phrases.value
         for batch in batches:
             for ids, has, n_words, keys in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, cut
+from .common import chunks, cut, kept
 
 MIN_WORDS = 10
 _PLACE = ["_d", "_t", "_n"]
@@ -44,6 +44,7 @@ def lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", t
     """(_d, _t, _n): document and line number; _h1, _h2: the line; _span and _back: lines from it on, and up to it, until there are enough words; 0 if there never are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept("line_dedup")
         for b in chunks(batches, "text"):
             digests, words, per_doc = [], [], []
             for text in b.column(2).to_pylist():
@@ -124,6 +125,7 @@ def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_i
     joined = keyed.join(gone, ["_d", "_t"], "left").select(*numbered, "_gone")
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept("line_dedup")
         for b in chunks(batches, numbered[text_at]):
             texts, n_lines, n_gone = [], [], []
             for text, lost in zip(b.column(text_at).to_pylist(), b.column(len(names)).to_pylist(), strict=True):

@@ -31,10 +31,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Remembered, Words, buffers, chunks
+from .common import Remembered, Words, buffers, chunks, kept
 
 BLANK = "▁"
-REMEMBERED = 1_000_000
+REMEMBERED = 500_000
 #: Stretches up to this many characters are encoded together; longer ones one by one.
 TOGETHER = 48
 _AS_IS = np.arange(256, dtype=np.uint8)
@@ -283,13 +283,8 @@ class Encoder(Remembered):
         return data, np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(sizes)))]
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
-    if path not in _encoders:
-        _encoders[path] = Encoder(Pieces(path))
-    return _encoders[path]
+    return kept(("sentencepiece", path), lambda: Encoder(Pieces(path)))
 
 
 def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, cut, mix
+from .common import chunks, cut, kept, mix
 
 BITS = 4
 SHINGLE = 4
@@ -67,6 +67,7 @@ def fingerprints(docs: DataFrame, size: int = SHINGLE, id_col: str = "doc_id", t
     """doc_id and fp, the fingerprint as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept("simhash")
         for b in chunks(batches, "t"):
             fps = np.array([fingerprint(shingle_hashes(t, size)) for t in b.column(1).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
@@ -190,6 +191,7 @@ def links(keys: DataFrame, bits: int = BITS) -> DataFrame:
     """(node, root): a spanning forest of the links that each task sees. Rows must come by key, sorted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept("simhash")
         forest = Forest()
         rest_k, rest_f = np.zeros(0, np.int64), np.zeros(0, np.uint64)
 
@@ -270,6 +272,7 @@ def simhash_components(docs: DataFrame, size: int = SHINGLE, bits: int = BITS, i
     distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("label"))
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept("simhash")
         for b in batches:
             for at in range(0, b.num_rows, 2048):
                 own = np.asarray(b.column(0).slice(at, 2048)).view(np.uint64)
@@ -373,12 +376,14 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_
     most_64, most_all = (int(n * p + 4 * (n * p * (1 - p)) ** 0.5) for n in (64, 64 * WORDS))
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept("simhash")
         for b in chunks(batches, "t"):
             wide = [wide_fingerprint(shingle_hashes(t, size)) for t in b.column(1).to_pylist()]
             fps = np.array([int.from_bytes(w[:8], "little") for w in wide], np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64)), pa.array(wide, pa.binary())], ["doc_id", "fp", "bits"])
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept("simhash")
         for b in batches:
             for a in range(0, b.num_rows, 2048):
                 part = b.slice(a, 2048)
@@ -393,6 +398,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_
                 yield pa.RecordBatch.from_arrays([pa.array(full), pa.array([keys[x:z].tobytes() for x, z in spans], pa.binary()), pa.array([fps[x:z].tobytes() for x, z in spans], pa.binary())], ["part", "keys", "fps"])
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept("simhash")
         held: dict[int, list] = {}
         for b in batches:
             for part, k, f in zip(*(b.column(n).to_pylist() for n in range(3)), strict=True):
@@ -412,6 +418,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_
             yield b.select(["a", "b", "da", "db"]).filter(pa.array(keep))
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept("simhash")
         for b in chunks(batches, "t"):
             sets = [np.unique(shingle_hashes(t, size)).tobytes() for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], ["doc_id", "set"])

@@ -27,7 +27,7 @@ import tiktoken
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks
+from .common import chunks, kept
 
 BLOCK = 64
 CONTEXT = 2
@@ -173,13 +173,8 @@ class Document:
         return len(words)
 
 
-_counters: dict[tuple[str, str], Counter] = {}
-
-
 def counter(ranks_path: str, pattern: str) -> Counter:
-    if (ranks_path, pattern) not in _counters:
-        _counters[ranks_path, pattern] = Counter(ranks_path, pattern)
-    return _counters[ranks_path, pattern]
+    return kept(("token_counts", ranks_path, pattern), lambda: Counter(ranks_path, pattern))
 
 
 def token_counts(docs: DataFrame, edits: Column, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANK, BLANK_AS_IS, Remembered, Words, buffers, chunks, shared_path
+from .common import BLANK, BLANK_AS_IS, Remembered, Words, buffers, chunks, kept, shared_path
 
 MAGIC = b"RPGRAM1\n"
 END = 2
@@ -78,13 +78,8 @@ def breaks(data: np.ndarray) -> np.ndarray:
     return np.flatnonzero(kind[1:] * kind[:-1] == 2) + 1
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    return kept(("token_ids", path), lambda: Encoder(path))
 
 
 def compress(ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:

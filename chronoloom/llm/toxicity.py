@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ALNUM, Words, buffers, chunks, mix
+from .common import ALNUM, Words, buffers, chunks, kept, mix
 
 #: Expected number of labelled rows of each class, at most, from which a model is fitted.
 SAMPLE = {0: 4000, 1: 4000}
@@ -95,10 +95,12 @@ class KneserNey:
                 total = np.bincount(where, own, len(up))
                 off = np.where(total > 0, np.bincount(where, DISCOUNTS[np.minimum(own, 3)], len(up)) / np.maximum(total, 1), 1.0)
                 off = np.clip(off, 1e-3, 1)
-                kept = np.maximum(own - DISCOUNTS[np.minimum(own, 3)], 0) / np.maximum(total, 1)[where]
-                logs.append(np.log(kept + off[where] * shared))
+                mass = np.maximum(own - DISCOUNTS[np.minimum(own, 3)], 0) / np.maximum(total, 1)[where]
+                logs.append(np.log(mass + off[where] * shared))
                 rest.append(np.log(off))
-            self.levels.append((nodes, logs[1] - logs[0], up, rest[1] - rest[0]))
+            # Of a step seen once nothing is left by the discounts, and it says what an unknown one says.
+            more, split = n[0] + n[1] > 1, np.bincount(where, n[0] + n[1]) > 1
+            self.levels.append((nodes[more], (logs[1] - logs[0])[more], up[split], (rest[1] - rest[0])[split]))
             parents = [t[0][k] for t in texts]
 
     def ratios(self, path: np.ndarray) -> np.ndarray:
@@ -106,8 +108,8 @@ class KneserNey:
         out = np.zeros(path.shape[1])
         parent, left = np.zeros(path.shape[1], np.uint64), np.arange(path.shape[1])
         for step, (nodes, ratio, up, rest) in zip(path, self.levels, strict=True):
-            at = np.minimum(np.searchsorted(nodes, step[left]), len(nodes) - 1)
-            known = nodes[at] == step[left]
+            at = np.minimum(np.searchsorted(nodes, step[left]), max(0, len(nodes) - 1))
+            known = nodes[at] == step[left] if len(nodes) else np.zeros(len(left), bool)
             out[left[known]] += ratio[at[known]]
             new = left[~known]  # an unknown step has only the shared mass; below it nothing is known
             out[new] += _lookup(up, rest, parent[new])
@@ -198,18 +200,19 @@ def scored(docs: DataFrame, labels: DataFrame, learnt: Column | None = None, id_
     sample, priors = labelled_sample(docs, labels, learnt if learnt is not None else F.lit(True), id_col, text_col)
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept("toxicity")
         got = train(batches, priors)
         if got is not None:
             yield pa.RecordBatch.from_arrays([pa.array([got], pa.binary())], ["model"])
 
     models = sample.coalesce(1).mapInArrow(fit, "model binary").collect()  # one row, bounded like the sample
-    book = spark.sparkContext.broadcast(models[0].model if models else None)
+    book = spark.sparkContext.broadcast(pickle.loads(models[0].model) if models else None)
+    del models
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = curve = None
-        if book.value is not None:
-            model, curve = pickle.loads(book.value)
+        kept("toxicity")
+        model, curve = book.value or (None, None)
         for b in chunks(batches, text_col):
             if model is None:
                 scores = np.zeros(b.num_rows)
