@@ -35,6 +35,13 @@ def id_crc(col: str = "doc_id") -> Column:
 _kept: dict = {}
 
 
+def trim() -> None:
+    """Hand freed memory back to the machine, where the C library can."""
+    release = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if release is not None:
+        release(0)
+
+
 def kept(key: object, make=lambda: None):
     """What a worker process keeps from task to task under ``key``: one thing at a time.
 
@@ -44,9 +51,7 @@ def kept(key: object, make=lambda: None):
     if key not in _kept:
         _kept.clear()
         gc.collect()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-        if trim is not None:
-            trim(0)
+        trim()
         _kept[key] = make()
     return _kept[key]
 
@@ -91,6 +96,7 @@ def chunks(batches: Iterable[pa.RecordBatch], column: str, size: int = CHUNK_BYT
             to = max(at + 1, int(np.searchsorted(ends, base + size, "right")))
             yield batch.slice(at, to - at)
             at = to
+    trim()
 
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -87,11 +87,8 @@ def windows_of(items: list[tuple], size: int) -> dict[tuple[bytes, ...], set]:
     return out
 
 
-def build_segments(docs: DataFrame, phrases, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Segments of the positional index of ``docs`` over the terms of ``phrases`` (a broadcast ``Phrases``).
-
-    ``keys`` holds term * 2**32 + position, ascending: all postings lists of the segment one after another.
-    """
+def _builder(phrases):
+    """Documents (id, text) to segments, over the terms of ``phrases``."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept("decontaminate")
@@ -105,7 +102,15 @@ def build_segments(docs: DataFrame, phrases, id_col: str = "doc_id", text_col: s
             cells = [np.asarray(ids.fill_null(0), np.int64), np.asarray(ids.is_valid()).astype(np.uint8), words.per_row.astype(np.int64), keys]
             yield pa.RecordBatch.from_arrays([pa.array([c.tobytes()], pa.binary()) for c in cells], ["doc_ids", "has_id", "n_words", "keys"])
 
-    return docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).alias("t")).mapInArrow(build, SEGMENT)
+    return build
+
+
+def build_segments(docs: DataFrame, phrases, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Segments of the positional index of ``docs`` over the terms of ``phrases`` (a broadcast ``Phrases``), to be stored.
+
+    ``keys`` holds term * 2**32 + position, ascending: all postings lists of the segment one after another.
+    """
+    return docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).alias("t")).mapInArrow(_builder(phrases), SEGMENT)
 
 
 def _spans(keys: np.ndarray, n_terms: int) -> tuple[np.ndarray, np.ndarray]:
@@ -165,9 +170,22 @@ def proximity_matches(book: Phrases, keys: np.ndarray, slop: int) -> tuple[np.nd
     return tuple(np.concatenate(x) if found else np.zeros(0, np.int64) for x in (zip(*found, strict=True) if found else ((), (), ())))
 
 
+FOUND = "doc_id long, n_words long, hit_from array<long>, hit_to array<long>, items array<string>"
+
+
 def search(segments: DataFrame, phrases, slop: int = 0) -> DataFrame:
     """Per document: doc_id, n_words, first and last word of each merged stretch that matches, and the items."""
-    schema = "doc_id long, n_words long, hit_from array<long>, hit_to array<long>, items array<string>"
+    return segments.mapInArrow(_searcher(phrases, slop), FOUND)
+
+
+def search_documents(docs: DataFrame, phrases, slop: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The same from documents, each segment being searched by the worker that has just built it."""
+    build, look = _builder(phrases), _searcher(phrases, slop)
+    return docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).alias("t")).mapInArrow(lambda batches: look(build(batches)), FOUND)
+
+
+def _searcher(phrases, slop: int):
+    """Segments to the matches of their documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept("decontaminate")
@@ -207,7 +225,7 @@ def search(segments: DataFrame, phrases, slop: int = 0) -> DataFrame:
                     ["doc_id", "n_words", "hit_from", "hit_to", "items"],
                 )
 
-    return segments.mapInArrow(run, schema)
+    return run
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", slop: int = 0, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
@@ -228,7 +246,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10, id_col:
     found = None
     for part in [*parts, items] if items or not parts else parts:
         book = context.broadcast(Phrases(windows_of(part, size)))
-        one = search(build_segments(docs, book, id_col, text_col), book, slop)
+        one = search_documents(docs, book, slop, id_col, text_col)
         found = one if found is None else found.unionByName(one)
     if parts and (len(parts) > 1 or items):
         found = _together(found)

@@ -31,10 +31,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Remembered, Words, buffers, chunks, kept
+from .common import Remembered, Words, buffers, chunks, kept, trim
 
 BLANK = "▁"
-REMEMBERED = 500_000
+REMEMBERED = 300_000
+#: Bytes of text that are encoded at a time; less than elsewhere, as pieces and their bytes take more room than text.
+AT_ONCE = 1 << 20
 #: Stretches up to this many characters are encoded together; longer ones one by one.
 TOGETHER = 48
 _AS_IS = np.arange(256, dtype=np.uint8)
@@ -145,7 +147,7 @@ class Pieces:
 
 class Encoder(Remembered):
     def __init__(self, pieces: Pieces) -> None:
-        super().__init__(REMEMBERED, 1 << 15)
+        super().__init__(REMEMBERED, 1 << 14)
         self.pieces = pieces
         self.automaton = ahocorasick.Automaton()
         usable = pieces.whole if pieces.bpe else np.ones(len(pieces.names), bool)
@@ -275,6 +277,11 @@ class Encoder(Remembered):
         ids, sizes = self.ids(Words(data, offsets, _AS_IS, np.flatnonzero(cut)), data.tobytes())
         return ids, sizes, data, offsets
 
+    def rest(self) -> None:
+        """Forget the stretches at a task's end: a worker that waits for other stages must not hold them."""
+        self._reset()
+        trim()
+
     def decode(self, ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Bytes and offsets of the texts, the blank still in front."""
         n = self.byte_size[ids]
@@ -292,13 +299,14 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(model)
-        for b in chunks(batches, "t"):
+        for b in chunks(batches, "t", AT_ONCE):
             ids, sizes, _, _ = own.encode(b.column(1))
             data, offsets = own.decode(ids, sizes)
             raw = data.tobytes()
             texts = [raw[a + 1 : z].decode(errors="replace") if z > a else "" for a, z in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.array(ids, pa.int32()))
             yield pa.RecordBatch.from_arrays([b.column(0), lists, pa.array(texts, pa.string())], ["doc_id", "ids", "decoded"])
+        own.rest()
 
     rows = docs.select(F.col(id_col).alias("d"), F.col(text_col).alias("t"))
     return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['d']}, ids array<int>, decoded string")
@@ -309,7 +317,7 @@ def digests(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(model)
-        for b in chunks(batches, "t"):
+        for b in chunks(batches, "t", AT_ONCE):
             ids, sizes, data, offsets = own.encode(b.column(1))
             back, places = own.decode(ids, sizes)
             ends = np.cumsum(sizes)
@@ -317,6 +325,7 @@ def digests(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
             crc = [zlib.crc32(raw[4 * a : 4 * z]) for a, z in zip((ends - sizes).tolist(), ends.tolist(), strict=True)]
             same = [text[a:z] == again[c:d] for a, z, c, d in zip(offsets[:-1].tolist(), offsets[1:].tolist(), places[:-1].tolist(), places[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes), pa.array(crc, pa.int64()), pa.array(same)], ["doc_id", "n_tokens", "ids_crc32", "round_trip"])
+        own.rest()
 
     rows = docs.select(F.col(id_col).alias("d"), F.col(text_col).alias("t"))
     return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['d']}, n_tokens long, ids_crc32 long, round_trip boolean")

@@ -75,6 +75,9 @@ def test_decontamination_matches_brute_force(spark):
     for size, limit in ((10, 10**6), (10, 15)):
         got = decontaminate.decontaminate(frame(spark, [t for _, t in docs], [d for d, _ in docs]), bench, size, broadcast_words=limit).collect()
         assert sorted((r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in got) == want
+    book = spark.sparkContext.broadcast(decontaminate.Phrases(decontaminate.windows_of([x for x in items if x[0] is not None], 10)))
+    stored = decontaminate.build_segments(frame(spark, [t for _, t in docs], [d for d, _ in docs]), book)
+    assert sorted((r.doc_id, r.n_words, len(r.items)) for r in decontaminate.search(stored, book).collect()) == sorted((d, n, k) for d, n, _, k, _, _ in want)
     assert decontaminate.decontaminate(empty(spark), bench).count() == 0
     clean = decontaminate.decontaminate(frame(spark, ["a b"]), bench.limit(0)).collect()
     assert [(r.n_words, r.n_hit, r.contaminated) for r in clean] == [(2, 0, False)]
