@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, Words, buffers, chunks, hash_words, kept
+from .common import ALNUM, Words, buffers, chunks, cut, hash_words, kept
 
 SEGMENT = "doc_ids binary, has_id binary, n_words binary, keys binary"
 #: Words of benchmark text that one broadcast may hold (some 40 bytes each); a larger benchmark is searched in parts.
@@ -232,24 +232,17 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10, id_col:
     """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items.
 
     Benchmark items are streamed to the driver and packed into parts of at most ``broadcast_words`` words, each of which
-    is broadcast. A benchmark within one part needs no shuffle at all. Of a larger one, the stretches that the
-    parts find are put together by document; they are few, as only matches are sent.
+    is broadcast as soon as it is full. A benchmark within one part needs no shuffle at all. For a larger one the rows are
+    numbered and written to the shared folder, and what the parts find is put together by a row's number.
     """
-    context = docs.sparkSession.sparkContext
-    parts, items, n = [], [], 0
-    for row in benchmark.select(F.col(item_col).cast("string"), item_text).where(F.col(item_col).isNotNull()).toLocalIterator():
-        items.append((row[0], row[1]))
-        n += len(split_words(row[1]))
-        if n >= broadcast_words:
-            parts.append(items)
-            items, n = [], 0
-    found = None
-    for part in [*parts, items] if items or not parts else parts:
-        book = context.broadcast(Phrases(windows_of(part, size)))
-        one = search_documents(docs, book, slop, id_col, text_col)
-        found = one if found is None else found.unionByName(one)
-    if parts and (len(parts) > 1 or items):
-        found = _together(found)
+    books = _books(docs, benchmark, size, item_col, item_text, broadcast_words)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    if len(books) == 1:
+        found = search_documents(rows, books[0], slop)
+    else:
+        rows = cut(rows.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+        merged = _by_row(rows, books, slop).withColumnRenamed("doc_id", "_row")
+        found = rows.select("_row", "doc_id").join(merged, "_row")
     hits = F.aggregate(F.zip_with("hit_from", "hit_to", lambda a, z: z - a + 1), F.lit(0).cast("long"), lambda a, x: a + x)
     return found.select(
         "doc_id",
@@ -262,8 +255,30 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10, id_col:
     )
 
 
+def _books(docs: DataFrame, benchmark: DataFrame, size: int, item_col: str, item_text: str, broadcast_words: int) -> list:
+    """The benchmark's broadcast parts, one at least. The driver holds the texts of one part at a time."""
+    context = docs.sparkSession.sparkContext
+    books, items, n = [], [], 0
+    for row in benchmark.select(F.col(item_col).cast("string"), item_text).where(F.col(item_col).isNotNull()).toLocalIterator():
+        items.append((row[0], row[1]))
+        n += len(split_words(row[1]))
+        if n >= broadcast_words:
+            books.append(context.broadcast(Phrases(windows_of(items, size))))
+            items, n = [], 0
+    return books if books and not items else [*books, context.broadcast(Phrases(windows_of(items, size)))]
+
+
+def _by_row(rows: DataFrame, books: list, slop: int) -> DataFrame:
+    """What all parts find in each of the numbered ``rows``, with the row's number as doc_id."""
+    found = None
+    for book in books:
+        one = search_documents(rows, book, slop, "_row")
+        found = one if found is None else found.unionByName(one)
+    return _together(found)
+
+
 def _together(found: DataFrame) -> DataFrame:
-    """Of several parts' results for a document, one. Repeated ids with equal word counts count as one document here."""
+    """Of several parts' results for a document, one. The ids must be unique."""
     key = ["doc_id", "n_words"]
     spans = F.flatten(F.collect_list(F.arrays_zip("hit_from", "hit_to")))
     rows = found.groupBy(*key).agg(F.array_sort(spans).alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))

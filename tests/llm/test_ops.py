@@ -83,6 +83,19 @@ def test_decontamination_matches_brute_force(spark):
     assert [(r.n_words, r.n_hit, r.contaminated) for r in clean] == [(2, 0, False)]
 
 
+def test_decontamination_in_parts_keeps_rows(spark):
+    words = [f"w{k}" for k in range(60)]
+    a, b, clean = " ".join(words[:20]), " ".join(words[30:50]), " ".join(f"c{k}" for k in range(20))
+    docs = [(None, a), (None, clean), (None, b), (7, clean), (7, a), (7, f"{a} {b}"), (7, a), (8, None)]
+    items = [("x", a), ("y", b), ("z", " ".join(words[5:40]))]
+    table = spark.createDataFrame(items, "item_id string, text string")
+    key = lambda r: tuple(map(str, r))
+    want = sorted(decontaminate.brute_force(docs, items), key=key)
+    for most in (1, 30, 1_000_000):
+        got = decontaminate.decontaminate(frame(spark, [t for _, t in docs], [d for d, _ in docs]), table, broadcast_words=most)
+        assert sorted((tuple(r)[:6] for r in got.collect()), key=key) == want, most
+
+
 def test_proximity():
     book = decontaminate.Phrases({(b"a", b"b"): {"1"}})
     w = Words(*buffers(pa.array(["a x b a b", "a x x x b"])), ALNUM)
