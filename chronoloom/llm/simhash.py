@@ -23,7 +23,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import chunks, cut, kept, mix
@@ -292,8 +292,6 @@ def simhash_components(docs: DataFrame, size: int = SHINGLE, bits: int = BITS, i
 #: Tables of the similarity search, each keyed by the Golay keys of two segments of 23 bits.
 TABLES = 12
 WORDS = 9
-#: Buckets up to this many fingerprints are compared in pairs; of larger ones all are compared with the most central.
-STAR = 32
 
 
 def wide_fingerprint(hashes: np.ndarray) -> bytes:
@@ -320,6 +318,11 @@ def table_keys(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(keys), np.concatenate(rows)
 
 
+def equal_sets(texts: list, size: int) -> list[np.ndarray]:
+    """The distinct shingles of each text, ascending."""
+    return [np.unique(shingle_hashes(t, size)) for t in texts]
+
+
 def _unique_pairs(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     x, y = np.minimum(x, y), np.maximum(x, y)
     order = np.lexsort((y, x))
@@ -329,45 +332,103 @@ def _unique_pairs(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return x[new], y[new]
 
 
-def bucket_pairs(keys: np.ndarray, fps: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct pairs that share a key and differ in at most ``bits`` bits of the fingerprint."""
-    order = np.argsort(keys, kind="stable")
-    keys, fps = keys[order], fps[order]
+def _buckets(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order of the rows by key and node, where each key's rows begin in it, and how many there are."""
+    order = np.lexsort((nodes, keys))
+    keys = keys[order]
     first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
-    size = np.diff(np.append(first, len(keys)))
-    xs, ys = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
-    for at, n in zip(first[size > STAR].tolist(), size[size > STAR].tolist(), strict=True):
-        own = np.unique(fps[at : at + n])
-        votes = np.unpackbits(own[:, None].view(np.uint8), axis=1).mean(axis=0) > 0.5
-        centre = np.packbits(votes).view(np.uint64)[0]
-        hub = own[np.bitwise_count(own ^ centre).argmin()]
-        close = own[(np.bitwise_count(own ^ hub) <= bits) & (own != hub)]
-        xs.append(close)
-        ys.append(np.full(len(close), hub, np.uint64))
-    small = np.repeat(size <= STAR, size)
-    left = np.where(small, np.repeat(first + size, size) - np.arange(len(keys)) - 1, -1)
-    step, at = 1, np.flatnonzero(left >= 1)
-    while len(at):
-        x, y = fps[at], fps[at + step]
-        close = (np.bitwise_count(x ^ y) <= bits) & (x != y)
-        xs.append(x[close])
-        ys.append(y[close])
+    return order, first, np.diff(np.append(first, len(keys)))
+
+
+def _steps(first: np.ndarray, size: np.ndarray, skip: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of rows of the same bucket, of all buckets at once, without each bucket's first ``skip`` rows."""
+    first, size = first + skip, np.maximum(size - skip, 0)
+    at = np.repeat(first, size) + np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+    left = np.repeat(first + size, size) - at - 1
+    step = 1
+    while (live := left >= step).any():
+        at, left = at[live], left[live]
+        yield at, at + step
         step += 1
-        at = at[left[at] >= step]
-    return _unique_pairs(np.concatenate(xs), np.concatenate(ys))
+
+
+def star_pairs(keys: np.ndarray, nodes: np.ndarray, fps: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(x, y, open): pairs of each bucket's least node and its others, and the nodes of buckets in which other pairs are left.
+
+    Pairs differ in at most ``bits`` bits. A bucket's least node is open along with the nodes of its open pairs.
+    """
+    order, first, size = _buckets(keys, nodes)
+    nodes, fps = nodes[order], fps[order]
+    hub = np.repeat(first, size)
+    close = (np.bitwise_count(fps ^ fps[hub]) <= bits) & (nodes != nodes[hub])
+    x, y = _unique_pairs(nodes[hub[close]], nodes[close])
+    large = size > PAIRWISE
+    flag = np.repeat(large, size)
+    some = (size > 2) & ~large
+    for a, z in _steps(first[some], size[some], 1):
+        near = np.bitwise_count(fps[a] ^ fps[z]) <= bits
+        for at in (a[near], z[near], hub[a[near]]):
+            flag[at] = True
+    return x, y, np.unique(nodes[flag])
+
+
+def apart_pairs(keys: np.ndarray, nodes: np.ndarray, fps: np.ndarray, roots: np.ndarray, bits: int, most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of different roots that share a key and differ in at most ``bits`` bits, but those with a bucket's least node."""
+    order, first, size = _buckets(keys, nodes)
+    nodes, fps, roots = nodes[order], fps[order], roots[order]
+    xs, ys, held = [], [], 0
+
+    def some(x: np.ndarray, y: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        nonlocal xs, ys, held
+        xs.append(x)
+        ys.append(y)
+        held += len(x)
+        if held >= most:
+            yield _unique_pairs(np.concatenate(xs), np.concatenate(ys))
+            xs, ys, held = [], [], 0
+
+    large = size > PAIRWISE
+    for at, n in zip(first[large].tolist(), size[large].tolist(), strict=True):
+        own, fp, root = nodes[at + 1 : at + n], fps[at + 1 : at + n], roots[at + 1 : at + n]
+        names, group = np.unique(root, return_inverse=True)
+        if len(names) < 2:
+            continue
+        # The largest group's members come last and need not be compared with one another.
+        rank = np.where(group == np.bincount(group).argmax(), len(names), group)
+        by = np.argsort(rank, kind="stable")
+        own, fp, rank = own[by], fp[by], rank[by]
+        after = np.searchsorted(rank, rank, "right")
+        for k in range(int(np.searchsorted(rank, len(names)))):
+            a = int(after[k])
+            near = own[a:][np.bitwise_count(fp[a:] ^ fp[k]) <= bits]
+            yield from some(np.full(len(near), own[k]), near)
+    for a, z in _steps(first[~large], size[~large], 1):
+        near = (roots[a] != roots[z]) & (np.bitwise_count(fps[a] ^ fps[z]) <= bits)
+        yield from some(nodes[a[near]], nodes[z[near]])
+    if held:
+        yield _unique_pairs(np.concatenate(xs), np.concatenate(ys))
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and component_id, linking documents whose sets of word shingles have a Jaccard similarity of ``similarity`` or more.
+    """doc_id and component_id, linking documents whose sets of word shingles have a Jaccard similarity of ``similarity`` or more."""
+    return near_groups(docs, size, similarity, id_col, text_col).select("doc_id", "component_id")
+
+
+def near_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, text_md5 and component_id for each row; rows of equal id but other text may be in different components.
 
     At a similarity of 0.8 some 15 % of the bits of two fingerprints differ, too many for the exact search above. So
-    fingerprints have 576 bits, and ``TABLES`` tables are each keyed by the Golay keys of two segments; a pair at 0.8
-    shares a key in one of them at least with a probability of about 0.99 (a segment's keys meet in 60 % of such pairs), and more so above. Candidates
-    must agree well enough on 64 bits, then on all 576, and at last the shingles themselves are compared, so
-    links are true ones. Documents of equal 64-bit fingerprints are one node. In a bucket of over ``STAR`` fingerprints each
-    is compared with the bucket's most central one only; a group meets in many buckets.
+    fingerprints have 576 bits, and ``TABLES`` tables are each keyed by the Golay keys of two
+    segments; a pair at 0.8 shares a key in one of them at least with a probability of about 0.99 (a segment's keys meet
+    in 60 % of such pairs), and more so above. Candidates must agree well enough on 64 bits, then on all 576, and at last
+    the shingles themselves are compared, so links are true ones. Texts with equal 64-bit fingerprints are one node.
+
+    All pairs that share a key are compared, in two rounds whatever the bucket's size. First each member is compared with
+    its bucket's least node, and what is verified is linked; then all pairs of a bucket whose members are still apart
+    follow. Members that are linked by then need no comparison, so a group of near copies costs about its size, but
+    texts of one template that stay apart cost the square of their number.
 
-    Keys travel as packed arrays, 12 bytes a key, dealt over the shuffle partitions by key.
+    Keys travel as packed arrays, dealt over the shuffle partitions by key, each document once a block and partition.
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -379,49 +440,73 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_
         kept("simhash")
         for b in chunks(batches, "t"):
             wide = [wide_fingerprint(shingle_hashes(t, size)) for t in b.column(1).to_pylist()]
-            fps = np.array([int.from_bytes(w[:8], "little") for w in wide], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64)), pa.array(wide, pa.binary())], ["doc_id", "fp", "bits"])
-
-    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept("simhash")
-        for b in batches:
-            for a in range(0, b.num_rows, 2048):
-                part = b.slice(a, 2048)
-                words = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint64).reshape(-1, WORDS)
-                keys, rows = table_keys(words)
-                fps = np.asarray(part.column(0)).view(np.uint64)[rows]
-                to = (mix(keys.astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
-                order = np.argsort(to, kind="stable")
-                keys, fps, ends = keys[order], fps[order], np.cumsum(np.bincount(to, minlength=parts))
-                full = np.flatnonzero(np.diff(ends, prepend=0))
-                spans = [(int(ends[k - 1]) if k else 0, int(ends[k])) for k in full.tolist()]
-                yield pa.RecordBatch.from_arrays([pa.array(full), pa.array([keys[x:z].tobytes() for x, z in spans], pa.binary()), pa.array([fps[x:z].tobytes() for x, z in spans], pa.binary())], ["part", "keys", "fps"])
-
-    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept("simhash")
-        held: dict[int, list] = {}
-        for b in batches:
-            for part, k, f in zip(*(b.column(n).to_pylist() for n in range(3)), strict=True):
-                own = held.setdefault(part, [[], []])
-                own[0].append(np.frombuffer(k, np.int32))
-                own[1].append(np.frombuffer(f, np.uint64))
-        while held:
-            _, (k, f) = held.popitem()
-            x, y = bucket_pairs(np.concatenate(k), np.concatenate(f), most_64)
-            for a in range(0, len(x), 1 << 16):
-                yield pa.RecordBatch.from_arrays([pa.array(v[a : a + (1 << 16)].view(np.int64)) for v in (x, y)], ["a", "b"])
+            cells = [[w[:8] for w in wide], wide]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *(pa.array(c, pa.binary()) for c in cells)], ["doc_id", "text_md5", "set", "bits"])
+
+    def explode(width: int):
+        """Rows (bits, node and in the second round root) to packed keys by partition; members are (node, 64 bits, root)."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            kept("simhash")
+            for b in batches:
+                for a in range(0, b.num_rows, 2048):
+                    part = b.slice(a, 2048)
+                    words = np.frombuffer(b"".join(part.column(0).to_pylist()), np.uint64).reshape(-1, WORDS)
+                    members = np.stack([np.asarray(part.column(1)), words[:, 0].view(np.int64), *(np.asarray(part.column(k)) for k in range(2, width))], axis=1)
+                    keys, rows = table_keys(words)
+                    to = (mix(keys.astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
+                    order = np.argsort(to, kind="stable")
+                    keys, rows, ends = keys[order], rows[order], np.cumsum(np.bincount(to, minlength=parts))
+                    full = np.flatnonzero(np.diff(ends, prepend=0))
+                    cells: list[list[bytes]] = [[], [], []]
+                    for k in full.tolist():
+                        x, z = int(ends[k - 1]) if k else 0, int(ends[k])
+                        own, at = np.unique(rows[x:z], return_inverse=True)
+                        for c, v in zip(cells, (keys[x:z], at.astype(np.uint16), members[own]), strict=True):
+                            c.append(v.tobytes())
+                    yield pa.RecordBatch.from_arrays([pa.array(full), *(pa.array(c, pa.binary()) for c in cells)], ["part", "keys", "at", "members"])
+
+        return run
+
+    def pair(width: int):
+        """The pairs of each partition; in the first round also (node, -1) for open nodes."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            kept("simhash")
+            held: dict[int, list] = {}
+            for b in batches:
+                for part, k, at, m in zip(*(b.column(n).to_pylist() for n in range(4)), strict=True):
+                    own = held.setdefault(part, [[], [], [], 0])
+                    own[0].append(np.frombuffer(k, np.int32))
+                    own[1].append(np.frombuffer(at, np.uint16).astype(np.int32) + own[3])
+                    own[2].append(np.frombuffer(m, np.int64).reshape(-1, width))
+                    own[3] += len(own[2][-1])
+            while held:
+                _, (k, at, m, _) = held.popitem()
+                keys, at, m = np.concatenate(k), np.concatenate(at), np.concatenate(m)
+                nodes, fps = m[at, 0], m[at, 1].view(np.uint64)
+                if width == 2:
+                    x, y, left = star_pairs(keys, nodes, fps, most_64)
+                    found = iter([(x, y), (left, np.full(len(left), -1))])
+                else:
+                    found = apart_pairs(keys, nodes, fps, m[at, 2], most_64)
+                for x, y in found:
+                    for a in range(0, len(x), 1 << 16):
+                        yield pa.RecordBatch.from_arrays([pa.array(v[a : a + (1 << 16)]) for v in (x, y)], ["a", "b"])
+
+        return run
 
     def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x, y = (np.frombuffer(b"".join(b.column(n).to_pylist()), np.uint64).reshape(-1, WORDS) for n in (2, 3))
             keep = np.bitwise_count(x ^ y).sum(axis=1) <= most_all
-            yield b.select(["a", "b", "da", "db"]).filter(pa.array(keep))
+            yield b.select(["a", "b"]).filter(pa.array(keep))
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept("simhash")
         for b in chunks(batches, "t"):
-            sets = [np.unique(shingle_hashes(t, size)).tobytes() for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], ["doc_id", "set"])
+            sets = [s.tobytes() for s in equal_sets(b.column(1).to_pylist(), size)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], ["node", "set"])
 
     def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -432,20 +517,38 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_
                 keep.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
             yield b.select(["node", "root"]).filter(pa.array(keep, pa.bool_()))
 
-    rows = docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).alias("t"))
-    sketches = cut(rows.mapInArrow(sketch, "doc_id long, fp long, bits binary"), "sketches")
-    nodes = cut(sketches.groupBy("fp").agg(F.min(F.struct("doc_id", "bits")).alias("x"), F.min("doc_id").alias("label")).select("fp", "label", F.col("x.doc_id").alias("first"), F.col("x.bits").alias("bits")), "nodes")
+    rows = docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).alias("t"), text_md5(text_col).alias("m"))
+    sketches = cut(rows.mapInArrow(sketch, "doc_id long, text_md5 binary, set binary, bits binary"), "sketches")
+    nodes = sketches.groupBy("set").agg(F.min(F.struct("text_md5", "bits")).alias("x"), F.min("doc_id").alias("label"))
+    nodes = cut(nodes.select(F.monotonically_increasing_id().alias("node"), "set", "label", F.col("x.text_md5").alias("first"), F.col("x.bits").alias("bits")), "nodes")
+
+    def candidates(members: DataFrame, width: int) -> DataFrame:
+        blobs = members.mapInArrow(explode(width), "part long, keys binary, at binary, members binary")
+        return cut(blobs.repartition(parts, "part").mapInArrow(pair(width), "a long, b long").distinct(), "pairs")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        side = lambda c, w: nodes.select(F.col("node").alias(c), F.col("bits").alias(w))
+        both = pairs.join(side("a", "wa"), "a").join(side("b", "wb"), "b").select("a", "b", "wa", "wb")
+        close = cut(both.mapInArrow(agree, "a long, b long"), "candidates")
+        wanted = close.select(F.col("a").alias("node")).union(close.select("b")).distinct().join(nodes.select("node", "first"), "node")
+        sets = cut(rows.join(wanted, F.col("m") == F.col("first")).select("node", "t").mapInArrow(shingles, "node long, set binary").dropDuplicates(["node"]), "shingles")
+        set_of = lambda c, s: sets.select(F.col("node").alias(c), F.col("set").alias(s))
+        sides = close.join(set_of("a", "x"), "a").join(set_of("b", "y"), "b").select(F.col("b").alias("node"), F.col("a").alias("root"), "x", "y")
+        return sides.mapInArrow(similar, "node long, root long")
+
     # The fingerprint of a text without words is zero, and no other text is compared with it.
-    blobs = nodes.where("fp <> 0").select("fp", "bits").mapInArrow(explode, "part long, keys binary, fps binary")
-    pairs = blobs.repartition(parts, "part").mapInArrow(pair, "a long, b long").distinct()
-    side = lambda c, d, w: nodes.select(F.col("fp").alias(c), F.col("first").alias(d), F.col("bits").alias(w))
-    candidates = pairs.join(side("a", "da", "wa"), "a").join(side("b", "db", "wb"), "b").select("a", "b", "wa", "wb", "da", "db")
-    close = cut(candidates.mapInArrow(agree, "a long, b long, da long, db long"), "candidates")
-    wanted = close.select(F.col("da").alias("d")).union(close.select("db")).distinct()
-    sets = cut(rows.join(wanted, "d", "left_semi").mapInArrow(shingles, "doc_id long, set binary").dropDuplicates(["doc_id"]), "shingles")
-    set_of = lambda c, s: sets.select(F.col("doc_id").alias(c), F.col("set").alias(s))
-    verified = close.join(set_of("da", "x"), "da").join(set_of("db", "y"), "db").select(F.col("b").alias("node"), F.col("a").alias("root"), "x", "y")
-    roots = components(verified.mapInArrow(similar, "node long, root long"))
-    named = nodes.select("fp", "label").join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "label", F.coalesce("root", "fp").alias("root"))
+    worded = nodes.where(F.col("set") != F.lit(bytearray(8)))
+    first = candidates(worded.select("bits", "node"), 2)
+    roots = components(verified(first.where("b >= 0")))
+    left = first.where("b < 0").select(F.col("a").alias("node"))
+    if not (left := cut(left.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root")), "open")).isEmpty():
+        second = candidates(left.join(nodes, "node").select("bits", "node", "root"), 3)
+        roots = components(roots.union(verified(second)))
+    named = nodes.select("node", "set", "label").join(roots, "node", "left").select("set", "label", F.coalesce("root", "node").alias("root"))
     least = named.groupBy("root").agg(F.min("label").alias("component_id"))
-    return sketches.select("doc_id", "fp").join(named.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "component_id")
+    return sketches.select("doc_id", "text_md5", "set").join(named.join(least, "root").select("set", "component_id"), "set").select("doc_id", "text_md5", "component_id")
+
+
+def text_md5(col: str) -> Column:
+    """16 bytes; a null text counts as an empty one."""
+    return F.unhex(F.md5(F.coalesce(F.col(col), F.lit("")).cast("binary")))

@@ -228,6 +228,24 @@ def test_near_duplicates(spark):
     assert simhash.near_duplicates(empty(spark)).count() == 0
 
 
+def test_buckets_of_any_size_are_compared_in_full():
+    rng = np.random.default_rng(4)
+    flips = rng.random((300, 64)) < 0.12
+    fps = np.packbits(flips, axis=1).view(np.uint64)[:, 0]
+    for keys in (np.zeros(300, np.int32), np.repeat(np.arange(30, dtype=np.int32), 10)):
+        nodes = rng.permutation(300).astype(np.int64)
+        x, y, left = simhash.star_pairs(keys, nodes, fps, 12)
+        rest = np.isin(nodes, left)
+        roots = rng.integers(0, 3, 300)  # what the first round may have linked
+        found = set(zip(x.tolist(), y.tolist(), strict=True))
+        for x, y in simhash.apart_pairs(keys[rest], nodes[rest], fps[rest], roots[rest], 12, 1000):
+            found |= set(zip(x.tolist(), y.tolist(), strict=True))
+        for a in range(300):
+            for z in range(a):
+                if keys[a] == keys[z] and roots[a] != roots[z] and int(fps[a] ^ fps[z]).bit_count() <= 12:
+                    assert (min(nodes[a], nodes[z]), max(nodes[a], nodes[z])) in found
+
+
 @pytest.fixture(scope="module")
 def library():
     from tokenizers import Tokenizer
