@@ -421,7 +421,7 @@ def near_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_col:
     fingerprints have 576 bits, and ``TABLES`` tables are each keyed by the Golay keys of two
     segments; a pair at 0.8 shares a key in one of them at least with a probability of about 0.99 (a segment's keys meet
     in 60 % of such pairs), and more so above. Candidates must agree well enough on 64 bits, then on all 576, and at last
-    the shingles themselves are compared, so links are true ones. Texts with equal 64-bit fingerprints are one node.
+    the shingles themselves are compared, so links are true ones. Texts with the same set of shingles are one node.
 
     All pairs that share a key are compared, in two rounds whatever the bucket's size. First each member is compared with
     its bucket's least node, and what is verified is linked; then all pairs of a bucket whose members are still apart
@@ -439,8 +439,8 @@ def near_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_col:
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept("simhash")
         for b in chunks(batches, "t"):
-            wide = [wide_fingerprint(shingle_hashes(t, size)) for t in b.column(1).to_pylist()]
-            cells = [[w[:8] for w in wide], wide]
+            sets = equal_sets(b.column(1).to_pylist(), size)
+            cells = [[xxhash.xxh3_128_digest(s.tobytes()) for s in sets], [wide_fingerprint(shingle_hashes(t, size)) for t in b.column(1).to_pylist()]]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *(pa.array(c, pa.binary()) for c in cells)], ["doc_id", "text_md5", "set", "bits"])
 
     def explode(width: int):
@@ -536,8 +536,8 @@ def near_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_col:
         sides = close.join(set_of("a", "x"), "a").join(set_of("b", "y"), "b").select(F.col("b").alias("node"), F.col("a").alias("root"), "x", "y")
         return sides.mapInArrow(similar, "node long, root long")
 
-    # The fingerprint of a text without words is zero, and no other text is compared with it.
-    worded = nodes.where(F.col("set") != F.lit(bytearray(8)))
+    # A text without words has no shingles, and no other text is compared with it.
+    worded = nodes.where(F.col("set") != F.lit(bytearray(xxhash.xxh3_128_digest(b""))))
     first = candidates(worded.select("bits", "node"), 2)
     roots = components(verified(first.where("b >= 0")))
     left = first.where("b < 0").select(F.col("a").alias("node"))

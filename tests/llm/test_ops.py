@@ -246,6 +246,16 @@ def test_buckets_of_any_size_are_compared_in_full():
                     assert (min(nodes[a], nodes[z]), max(nodes[a], nodes[z])) in found
 
 
+def test_near_duplicates_compare_sets(spark):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    words = lambda n: [word() for _ in range(n)]
+    groups = lambda texts: {r.doc_id: r.component_id for r in simhash.near_duplicates(frame(spark, texts)).collect()}
+    phrase = words(5)
+    # The phrase rules all bits of a fingerprint with repeats, but the texts have little in common.
+    assert groups([" ".join(phrase * 60 + words(20)) for _ in range(3)]) == {0: 0, 1: 1, 2: 2}
+
+
 @pytest.fixture(scope="module")
 def library():
     from tokenizers import Tokenizer
