@@ -418,7 +418,7 @@ def near_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_col:
     """doc_id, text_md5 and component_id for each row; rows of equal id but other text may be in different components.
 
     At a similarity of 0.8 some 15 % of the bits of two fingerprints differ, too many for the exact search above. So
-    fingerprints have 576 bits, and ``TABLES`` tables are each keyed by the Golay keys of two
+    fingerprints of the distinct shingles have 576 bits, and ``TABLES`` tables are each keyed by the Golay keys of two
     segments; a pair at 0.8 shares a key in one of them at least with a probability of about 0.99 (a segment's keys meet
     in 60 % of such pairs), and more so above. Candidates must agree well enough on 64 bits, then on all 576, and at last
     the shingles themselves are compared, so links are true ones. Texts with the same set of shingles are one node.
@@ -440,7 +440,7 @@ def near_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_col:
         kept("simhash")
         for b in chunks(batches, "t"):
             sets = equal_sets(b.column(1).to_pylist(), size)
-            cells = [[xxhash.xxh3_128_digest(s.tobytes()) for s in sets], [wide_fingerprint(shingle_hashes(t, size)) for t in b.column(1).to_pylist()]]
+            cells = [[xxhash.xxh3_128_digest(s.tobytes()) for s in sets], [wide_fingerprint(s) for s in sets]]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *(pa.array(c, pa.binary()) for c in cells)], ["doc_id", "text_md5", "set", "bits"])
 
     def explode(width: int):

@@ -254,6 +254,8 @@ def test_near_duplicates_compare_sets(spark):
     phrase = words(5)
     # The phrase rules all bits of a fingerprint with repeats, but the texts have little in common.
     assert groups([" ".join(phrase * 60 + words(20)) for _ in range(3)]) == {0: 0, 1: 1, 2: 2}
+    body, line = words(300), words(8)
+    assert groups([" ".join(body + line), " ".join(body + line * 100)]) == {0: 0, 1: 0}
 
 
 @pytest.fixture(scope="module")
