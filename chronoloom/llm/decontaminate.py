@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import ALNUM, Words, buffers, chunks, cut, hash_words, kept
 
@@ -255,6 +256,24 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10, id_col:
     )
 
 
+def flagged(docs: DataFrame, benchmark: DataFrame, size: int = 10, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
+    """``docs`` with ``_contaminated`` added, decided for each row by its text alone, whatever ids the rows have."""
+    books = _books(docs, benchmark, size, item_col, item_text, broadcast_words)
+    if len(books) > 1:
+        rows = cut(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+        found = _by_row(rows, books, 0, text_col).select(F.col("doc_id").alias("_row"), (F.size("items") > 0).alias("_contaminated"))
+        return rows.join(found, "_row").drop("_row")
+    build, look, at = _builder(books[0]), _searcher(books[0], 0), docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in chunks(batches, text_col):
+            own = pa.RecordBatch.from_arrays([pa.nulls(b.num_rows, pa.int64()), b.column(at)], ["d", "t"])
+            dirty = [len(items) > 0 for found in look(build([own])) for items in found.column(4).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(dirty, pa.bool_())], [*b.schema.names, "_contaminated"])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("_contaminated", T.BooleanType())]))
+
+
 def _books(docs: DataFrame, benchmark: DataFrame, size: int, item_col: str, item_text: str, broadcast_words: int) -> list:
     """The benchmark's broadcast parts, one at least. The driver holds the texts of one part at a time."""
     context = docs.sparkSession.sparkContext
@@ -268,11 +287,11 @@ def _books(docs: DataFrame, benchmark: DataFrame, size: int, item_col: str, item
     return books if books and not items else [*books, context.broadcast(Phrases(windows_of(items, size)))]
 
 
-def _by_row(rows: DataFrame, books: list, slop: int) -> DataFrame:
+def _by_row(rows: DataFrame, books: list, slop: int, text_col: str = "text") -> DataFrame:
     """What all parts find in each of the numbered ``rows``, with the row's number as doc_id."""
     found = None
     for book in books:
-        one = search_documents(rows, book, slop, "_row")
+        one = search_documents(rows, book, slop, "_row", text_col)
         found = one if found is None else found.unionByName(one)
     return _together(found)
 

@@ -33,17 +33,19 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest doc_id (and documents without an id, which cannot be named)."""
-    groups = simhash.near_duplicates(docs, SHINGLE, SIMILARITY)
-    gone = groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Of each group of near-duplicates the rows with the smallest doc_id (and rows without an id, which cannot be named).
+
+    Rows go by id and text, so one that only shares its id with a near copy stays.
+    """
+    groups = simhash.near_groups(docs, SHINGLE, SIMILARITY)
+    gone = groups.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone"), "text_md5").distinct()
+    return docs.join(gone, (F.col("doc_id") == F.col("_gone")) & (simhash.text_md5("text") == F.col("text_md5")), "left_anti")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no window of a benchmark item occurs."""
-    found = decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    gone = found.where("contaminated").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+    """Documents in which no window of a benchmark item occurs; each row is decided by its own text."""
+    found = decontaminate.flagged(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.where(~F.col("_contaminated")).drop("_contaminated")
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -488,3 +488,23 @@ def test_pipeline_stages(spark):
     last = pipeline.STAGES[-1][1](spark, kept, SF).collect()
     assert len(last) == kept.count() and all(r.round_trip for r in last)
     assert {r.doc_id: (r.n_tokens, r.ids_crc32) for r in pipeline.run(spark, SF).collect()} == {r.doc_id: (r.n_tokens, r.ids_crc32) for r in last}
+
+
+def test_pipeline_decides_per_row(spark, tmp_path):
+    import corpus_pipeline as pipeline
+
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    a, b, clean, other = ([word() for _ in range(120)] for _ in range(4))
+    join = lambda words: " ".join(words)
+    spark.createDataFrame([("x", join(a[:20]))], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(None, join(a)), (None, join(clean)), (4, join(a)), (4, join(b))]
+    for kept in (
+        pipeline.drop_contaminated(spark, frame(spark, [t for _, t in rows], [d for d, _ in rows]), str(tmp_path)),
+        decontaminate.flagged(frame(spark, [t for _, t in rows], [d for d, _ in rows]), spark.createDataFrame([("x", join(a[:20])), ("y", "zz")], "item_id string, text string"), broadcast_words=1).where("not _contaminated").drop("_contaminated"),
+    ):
+        assert {(r.doc_id, r.text) for r in kept.collect()} == {(None, join(clean)), (4, join(b))}
+    near = [*b[:60], word(), *b[61:]]
+    rows = [(None, join(b)), (2, join(b)), (3, join(near)), (3, join(clean)), (9, join(other)), (None, join(other[:119]))]
+    kept = pipeline.drop_near_copies(spark, frame(spark, [t for _, t in rows], [d for d, _ in rows]), str(tmp_path))
+    assert sorted((str(r.doc_id), r.text) for r in kept.collect()) == sorted((str(d), t) for d, t in rows if t != join(near))
