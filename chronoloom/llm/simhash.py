@@ -18,7 +18,7 @@ unless all its documents lack one. An empty table gives an empty result. Only th
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import combinations, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -288,10 +288,13 @@ def simhash_components(docs: DataFrame, size: int = SHINGLE, bits: int = BITS, i
     return fps.join(members, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-
 #: Tables of the similarity search, each keyed by the Golay keys of two segments of 23 bits.
 TABLES = 12
 WORDS = 9
+#: Words of the fingerprint that travel with a key; at two of them unrelated texts are practically never taken for close.
+CARRIED = 2
+#: Keys that one task works on at a time, about.
+KEYS_AT_ONCE = 4_000_000
 
 
 def wide_fingerprint(hashes: np.ndarray) -> bytes:
@@ -323,26 +326,8 @@ def equal_sets(texts: list, size: int) -> list[np.ndarray]:
     return [np.unique(shingle_hashes(t, size)) for t in texts]
 
 
-def _unique_pairs(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    x, y = np.minimum(x, y), np.maximum(x, y)
-    order = np.lexsort((y, x))
-    x, y = x[order], y[order]
-    new = np.ones(len(x), bool)
-    new[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
-    return x[new], y[new]
-
-
-def _buckets(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The order of the rows by key and node, where each key's rows begin in it, and how many there are."""
-    order = np.lexsort((nodes, keys))
-    keys = keys[order]
-    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
-    return order, first, np.diff(np.append(first, len(keys)))
-
-
-def _steps(first: np.ndarray, size: np.ndarray, skip: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All pairs of rows of the same bucket, of all buckets at once, without each bucket's first ``skip`` rows."""
-    first, size = first + skip, np.maximum(size - skip, 0)
+def _steps(first: np.ndarray, size: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of rows of the same bucket, of all buckets at once."""
     at = np.repeat(first, size) + np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
     left = np.repeat(first + size, size) - at - 1
     step = 1
@@ -352,61 +337,47 @@ def _steps(first: np.ndarray, size: np.ndarray, skip: int) -> Iterator[tuple[np.
         step += 1
 
 
-def star_pairs(keys: np.ndarray, nodes: np.ndarray, fps: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(x, y, open): pairs of each bucket's least node and its others, and the nodes of buckets in which other pairs are left.
+def centre(fps: np.ndarray) -> int:
+    """The fingerprint (a row of words) nearest to the bits that most of them have."""
+    bits = np.unpackbits(np.ascontiguousarray(fps).view(np.uint8), axis=1)
+    return int((bits != (2 * bits.sum(axis=0, dtype=np.int64) > len(bits))).sum(axis=1).argmin())
+
 
-    Pairs differ in at most ``bits`` bits. A bucket's least node is open along with the nodes of its open pairs.
+def neighbours(keys: np.ndarray, nodes: np.ndarray, fps: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(node, partner, weight, open): a row for each node that shares a key with a close one, that differs in at most ``bits`` bits.
+
+    The partner is the close one that is central to most; the weight says to how many. A node is open if it may have
+    further ones. Buckets up to ``PAIRWISE`` are compared in pairs. In a larger one every member is open, and its
+    partner is the bucket's centre.
     """
-    order, first, size = _buckets(keys, nodes)
-    nodes, fps = nodes[order], fps[order]
-    hub = np.repeat(first, size)
-    close = (np.bitwise_count(fps ^ fps[hub]) <= bits) & (nodes != nodes[hub])
-    x, y = _unique_pairs(nodes[hub[close]], nodes[close])
-    large = size > PAIRWISE
-    flag = np.repeat(large, size)
-    some = (size > 2) & ~large
-    for a, z in _steps(first[some], size[some], 1):
-        near = np.bitwise_count(fps[a] ^ fps[z]) <= bits
-        for at in (a[near], z[near], hub[a[near]]):
-            flag[at] = True
-    return x, y, np.unique(nodes[flag])
-
-
-def apart_pairs(keys: np.ndarray, nodes: np.ndarray, fps: np.ndarray, roots: np.ndarray, bits: int, most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All pairs of different roots that share a key and differ in at most ``bits`` bits, but those with a bucket's least node."""
-    order, first, size = _buckets(keys, nodes)
-    nodes, fps, roots = nodes[order], fps[order], roots[order]
-    xs, ys, held = [], [], 0
-
-    def some(x: np.ndarray, y: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        nonlocal xs, ys, held
-        xs.append(x)
-        ys.append(y)
-        held += len(x)
-        if held >= most:
-            yield _unique_pairs(np.concatenate(xs), np.concatenate(ys))
-            xs, ys, held = [], [], 0
-
-    large = size > PAIRWISE
+    order = np.lexsort((nodes, keys))
+    keys, nodes, fps = keys[order], nodes[order], fps[order]
+    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
+    size = np.diff(np.append(first, len(keys)))
+    small, large = (size > 1) & (size <= PAIRWISE), size > PAIRWISE
+    xs, zs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for a, z in _steps(first[small], size[small]):
+        near = np.bitwise_count(fps[a] ^ fps[z]).sum(axis=1) <= bits
+        xs.append(a[near])
+        zs.append(z[near])
+    a, z = np.concatenate(xs), np.concatenate(zs)
+    x, y = np.concatenate((a, z)), np.concatenate((z, a))
+    weight = np.bincount(x, minlength=len(nodes))[y]
+    x, y = [nodes[x]], [nodes[y]]
+    weight, more = [weight], [np.zeros(len(weight), bool)]
     for at, n in zip(first[large].tolist(), size[large].tolist(), strict=True):
-        own, fp, root = nodes[at + 1 : at + n], fps[at + 1 : at + n], roots[at + 1 : at + n]
-        names, group = np.unique(root, return_inverse=True)
-        if len(names) < 2:
-            continue
-        # The largest group's members come last and need not be compared with one another.
-        rank = np.where(group == np.bincount(group).argmax(), len(names), group)
-        by = np.argsort(rank, kind="stable")
-        own, fp, rank = own[by], fp[by], rank[by]
-        after = np.searchsorted(rank, rank, "right")
-        for k in range(int(np.searchsorted(rank, len(names)))):
-            a = int(after[k])
-            near = own[a:][np.bitwise_count(fp[a:] ^ fp[k]) <= bits]
-            yield from some(np.full(len(near), own[k]), near)
-    for a, z in _steps(first[~large], size[~large], 1):
-        near = (roots[a] != roots[z]) & (np.bitwise_count(fps[a] ^ fps[z]) <= bits)
-        yield from some(nodes[a[near]], nodes[z[near]])
-    if held:
-        yield _unique_pairs(np.concatenate(xs), np.concatenate(ys))
+        x.append(nodes[at : at + n])
+        y.append(np.full(n, nodes[at + centre(fps[at : at + n])]))
+        weight.append(np.full(n, n))
+        more.append(np.ones(n, bool))
+    x, y, weight, more = (np.concatenate(v) for v in (x, y, weight, more))
+    order = np.lexsort((y, -weight, x))
+    x, y, weight, more = x[order], y[order], weight[order], more[order]
+    if not len(x):
+        return x, y, weight, more
+    begin = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1])))
+    more = np.logical_or.reduceat(more, begin) | (np.minimum.reduceat(y, begin) != np.maximum.reduceat(y, begin))
+    return x[begin], y[begin], weight[begin], more
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -420,21 +391,20 @@ def near_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_col:
     At a similarity of 0.8 some 15 % of the bits of two fingerprints differ, too many for the exact search above. So
     fingerprints of the distinct shingles have 576 bits, and ``TABLES`` tables are each keyed by the Golay keys of two
     segments; a pair at 0.8 shares a key in one of them at least with a probability of about 0.99 (a segment's keys meet
-    in 60 % of such pairs), and more so above. Candidates must agree well enough on 64 bits, then on all 576, and at last
-    the shingles themselves are compared, so links are true ones. Texts with the same set of shingles are one node.
-
-    All pairs that share a key are compared, in two rounds whatever the bucket's size. First each member is compared with
-    its bucket's least node, and what is verified is linked; then all pairs of a bucket whose members are still apart
-    follow. Members that are linked by then need no comparison, so a group of near copies costs about its size, but
-    texts of one template that stay apart cost the square of their number.
-
-    Keys travel as packed arrays, dealt over the shuffle partitions by key, each document once a block and partition.
+    in 60 % of such pairs), and more so above. Links are decided on the shingles themselves. Texts with the same set of
+    shingles are one node.
+
+    Pairs are never listed by bucket. Each node that has close ones in its buckets is first verified with one of
+    them, the one that is central to most, which links most of a group to its centre. A node with a single close one
+    is done with that. All others are open, and open nodes of different components are joined on their rarest shingles: of
+    two sets with the similarity, the rarest 20 % of one must meet those of the other, at places that leave room for enough
+    common ones (prefix and position filters, which lose nothing). What passes is verified like the rest. So no
+    bucket's size matters for the result, and a group of near copies or texts of one template costs about its size.
     """
     spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # Bits that may differ at the similarity, with four standard deviations for 64 and for all bits.
-    p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-    most_64, most_all = (int(n * p + 4 * (n * p * (1 - p)) ** 0.5) for n in (64, 64 * WORDS))
+    # Bits that may differ at the similarity, with four standard deviations.
+    p, n_bits = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi), 64 * CARRIED
+    most = int(n_bits * p + 4 * (n_bits * p * (1 - p)) ** 0.5)
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept("simhash")
@@ -443,112 +413,112 @@ def near_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_col:
             cells = [[xxhash.xxh3_128_digest(s.tobytes()) for s in sets], [wide_fingerprint(s) for s in sets]]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *(pa.array(c, pa.binary()) for c in cells)], ["doc_id", "text_md5", "set", "bits"])
 
-    def explode(width: int):
-        """Rows (bits, node and in the second round root) to packed keys by partition; members are (node, 64 bits, root)."""
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            kept("simhash")
-            for b in batches:
-                for a in range(0, b.num_rows, 2048):
-                    part = b.slice(a, 2048)
-                    words = np.frombuffer(b"".join(part.column(0).to_pylist()), np.uint64).reshape(-1, WORDS)
-                    members = np.stack([np.asarray(part.column(1)), words[:, 0].view(np.int64), *(np.asarray(part.column(k)) for k in range(2, width))], axis=1)
-                    keys, rows = table_keys(words)
-                    to = (mix(keys.astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
-                    order = np.argsort(to, kind="stable")
-                    keys, rows, ends = keys[order], rows[order], np.cumsum(np.bincount(to, minlength=parts))
-                    full = np.flatnonzero(np.diff(ends, prepend=0))
-                    cells: list[list[bytes]] = [[], [], []]
-                    for k in full.tolist():
-                        x, z = int(ends[k - 1]) if k else 0, int(ends[k])
-                        own, at = np.unique(rows[x:z], return_inverse=True)
-                        for c, v in zip(cells, (keys[x:z], at.astype(np.uint16), members[own]), strict=True):
-                            c.append(v.tobytes())
-                    yield pa.RecordBatch.from_arrays([pa.array(full), *(pa.array(c, pa.binary()) for c in cells)], ["part", "keys", "at", "members"])
-
-        return run
-
-    def pair(width: int):
-        """The pairs of each partition; in the first round also (node, -1) for open nodes."""
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            kept("simhash")
-            held: dict[int, list] = {}
-            for b in batches:
-                for part, k, at, m in zip(*(b.column(n).to_pylist() for n in range(4)), strict=True):
-                    own = held.setdefault(part, [[], [], [], 0])
-                    own[0].append(np.frombuffer(k, np.int32))
-                    own[1].append(np.frombuffer(at, np.uint16).astype(np.int32) + own[3])
-                    own[2].append(np.frombuffer(m, np.int64).reshape(-1, width))
-                    own[3] += len(own[2][-1])
-            while held:
-                _, (k, at, m, _) = held.popitem()
-                keys, at, m = np.concatenate(k), np.concatenate(at), np.concatenate(m)
-                nodes, fps = m[at, 0], m[at, 1].view(np.uint64)
-                if width == 2:
-                    x, y, left = star_pairs(keys, nodes, fps, most_64)
-                    found = iter([(x, y), (left, np.full(len(left), -1))])
-                else:
-                    found = apart_pairs(keys, nodes, fps, m[at, 2], most_64)
-                for x, y in found:
-                    for a in range(0, len(x), 1 << 16):
-                        yield pa.RecordBatch.from_arrays([pa.array(v[a : a + (1 << 16)]) for v in (x, y)], ["a", "b"])
-
-        return run
-
-    def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows = docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).alias("t"), text_md5(text_col).alias("m"))
+    sketches = cut(rows.mapInArrow(sketch, "doc_id long, text_md5 binary, set binary, bits binary"), "sketches")
+    nodes = sketches.groupBy("set").agg(F.min(F.struct("text_md5", "bits")).alias("x"), F.min("doc_id").alias("label"))
+    nodes = cut(nodes.select(F.monotonically_increasing_id().alias("node"), "set", "label", F.col("x.text_md5").alias("first"), F.col("x.bits").alias("bits")), "nodes")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(tasks, nodes.count() * TABLES * 30 // KEYS_AT_ONCE)
+
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (bits, node) to packed keys by part; members are (node, carried words)."""
+        kept("simhash")
         for b in batches:
-            x, y = (np.frombuffer(b"".join(b.column(n).to_pylist()), np.uint64).reshape(-1, WORDS) for n in (2, 3))
-            keep = np.bitwise_count(x ^ y).sum(axis=1) <= most_all
-            yield b.select(["a", "b"]).filter(pa.array(keep))
+            for a in range(0, b.num_rows, 2048):
+                part = b.slice(a, 2048)
+                words = np.frombuffer(b"".join(part.column(0).to_pylist()), np.uint64).reshape(-1, WORDS)
+                members = np.concatenate((np.asarray(part.column(1))[:, None], words[:, :CARRIED].view(np.int64)), axis=1)
+                keys, at = table_keys(words)
+                to = (mix(keys.astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
+                order = np.argsort(to, kind="stable")
+                keys, at, ends = keys[order], at[order], np.cumsum(np.bincount(to, minlength=parts))
+                full = np.flatnonzero(np.diff(ends, prepend=0))
+                cells: list[list[bytes]] = [[], [], []]
+                for k in full.tolist():
+                    x, z = int(ends[k - 1]) if k else 0, int(ends[k])
+                    own, place = np.unique(at[x:z], return_inverse=True)
+                    for c, v in zip(cells, (keys[x:z], place.astype(np.uint16), members[own]), strict=True):
+                        c.append(v.tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(full), *(pa.array(c, pa.binary()) for c in cells)], ["part", "keys", "at", "members"])
+
+    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows sorted by part to ``neighbours``, one part in memory at a time."""
+        kept("simhash")
+        for _, blobs in groupby((x for b in batches for x in zip(*(b.column(n).to_pylist() for n in range(4)), strict=True)), lambda x: x[0]):
+            keys, at, members, n = [], [], [], 0
+            for _, k, a, m in blobs:
+                keys.append(np.frombuffer(k, np.int32))
+                at.append(np.frombuffer(a, np.uint16).astype(np.int32) + n)
+                members.append(np.frombuffer(m, np.int64).reshape(-1, 1 + CARRIED))
+                n += len(members[-1])
+            own = np.concatenate(members)[np.concatenate(at)]
+            found = neighbours(np.concatenate(keys), own[:, 0], own[:, 1:].view(np.uint64), most)
+            for a in range(0, len(found[0]), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(v[a : a + (1 << 16)]) for v in found], ["node", "partner", "weight", "open"])
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept("simhash")
         for b in chunks(batches, "t"):
-            sets = [s.tobytes() for s in equal_sets(b.column(1).to_pylist(), size)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], ["node", "set"])
+            sets = equal_sets(b.column(1).to_pylist(), size)
+            ends = np.cumsum([0, *map(len, sets)])
+            flat = np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], ["node", "shingles"])
 
     def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keep = []
-            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            for k in range(b.num_rows):
+                x, y = (np.asarray(b.column(c)[k].values) for c in (2, 3))
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
             yield b.select(["node", "root"]).filter(pa.array(keep, pa.bool_()))
 
-    rows = docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).alias("t"), text_md5(text_col).alias("m"))
-    sketches = cut(rows.mapInArrow(sketch, "doc_id long, text_md5 binary, set binary, bits binary"), "sketches")
-    nodes = sketches.groupBy("set").agg(F.min(F.struct("text_md5", "bits")).alias("x"), F.min("doc_id").alias("label"))
-    nodes = cut(nodes.select(F.monotonically_increasing_id().alias("node"), "set", "label", F.col("x.text_md5").alias("first"), F.col("x.bits").alias("bits")), "nodes")
-
-    def candidates(members: DataFrame, width: int) -> DataFrame:
-        blobs = members.mapInArrow(explode(width), "part long, keys binary, at binary, members binary")
-        return cut(blobs.repartition(parts, "part").mapInArrow(pair(width), "a long, b long").distinct(), "pairs")
-
     def verified(pairs: DataFrame) -> DataFrame:
-        side = lambda c, w: nodes.select(F.col("node").alias(c), F.col("bits").alias(w))
-        both = pairs.join(side("a", "wa"), "a").join(side("b", "wb"), "b").select("a", "b", "wa", "wb")
-        close = cut(both.mapInArrow(agree, "a long, b long"), "candidates")
-        wanted = close.select(F.col("a").alias("node")).union(close.select("b")).distinct().join(nodes.select("node", "first"), "node")
-        sets = cut(rows.join(wanted, F.col("m") == F.col("first")).select("node", "t").mapInArrow(shingles, "node long, set binary").dropDuplicates(["node"]), "shingles")
-        set_of = lambda c, s: sets.select(F.col("node").alias(c), F.col("set").alias(s))
-        sides = close.join(set_of("a", "x"), "a").join(set_of("b", "y"), "b").select(F.col("b").alias("node"), F.col("a").alias("root"), "x", "y")
-        return sides.mapInArrow(similar, "node long, root long")
+        side = lambda c, s: sets.select(F.col("node").alias(c), F.col("shingles").alias(s))
+        both = pairs.join(side("node", "x"), "node").join(side("root", "y"), "root").select("node", "root", "x", "y")
+        return both.mapInArrow(similar, "node long, root long")
 
     # A text without words has no shingles, and no other text is compared with it.
     worded = nodes.where(F.col("set") != F.lit(bytearray(xxhash.xxh3_128_digest(b""))))
-    first = candidates(worded.select("bits", "node"), 2)
-    roots = components(verified(first.where("b >= 0")))
-    left = first.where("b < 0").select(F.col("a").alias("node"))
-    if not (left := cut(left.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root")), "open")).isEmpty():
-        second = candidates(left.join(nodes, "node").select("bits", "node", "root"), 3)
-        roots = components(roots.union(verified(second)))
+    blobs = worded.select("bits", "node").mapInArrow(explode, "part long, keys binary, at binary, members binary")
+    met = blobs.repartition(tasks, "part").sortWithinPartitions("part").mapInArrow(pair, "node long, partner long, weight long, open boolean")
+    best = F.max_by("partner", F.struct("weight", -F.col("partner")))
+    near = cut(met.groupBy("node").agg(best.alias("partner"), (F.max("open") | (F.min("partner") != F.max("partner"))).alias("open")), "near")
+    wanted = near.select("node").join(nodes.select("node", "first"), "node")
+    sets = cut(rows.join(wanted, F.col("m") == F.col("first")).select("node", "t").mapInArrow(shingles, "node long, shingles array<long>").dropDuplicates(["node"]), "shingles")
+
+    pairs = near.where("node != partner").select(F.greatest("node", "partner").alias("node"), F.least("node", "partner").alias("root")).distinct()
+    roots = components(verified(pairs))
+    left = near.where("open").select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+    roots = components(roots.unionByName(verified(cut(prefix_pairs(left.join(sets, "node"), similarity), "pairs"))))
     named = nodes.select("node", "set", "label").join(roots, "node", "left").select("set", "label", F.coalesce("root", "node").alias("root"))
     least = named.groupBy("root").agg(F.min("label").alias("component_id"))
     return sketches.select("doc_id", "text_md5", "set").join(named.join(least, "root").select("set", "component_id"), "set").select("doc_id", "text_md5", "component_id")
 
 
+def prefix_pairs(members: DataFrame, similarity: float) -> DataFrame:
+    """(node, root): pairs of nodes of different roots that may have the similarity, from (node, root, shingles). None is lost.
+
+    In the order of all shingles by how many nodes have them, two sets of n and m shingles with the similarity t have
+    t / (1 + t) * (n + m) in common, so the first that they share is at most that far from either's end, and among the
+    first n - t * n + 1 of each. Shingles of one node only come first in that order and are not listed.
+    """
+    share = similarity / (1 + similarity)
+    whole = lambda c: F.ceil(c - F.lit(1e-9)).cast("int")
+    each = members.select("node", "root", F.size("shingles").alias("n"), F.explode("shingles").alias("e"))
+    counts = each.groupBy("e").agg(F.count(F.lit(1)).alias("c"), (F.min("root") != F.max("root")).alias("live")).where("c > 1")
+    own = F.array_sort(F.collect_list(F.struct("c", "e", "live"))).alias("own")
+    listed = each.join(counts, "e").groupBy("node", "root", "n").agg(own).withColumn("alone", F.col("n") - F.size("own"))
+    prefix = F.slice("own", F.lit(1), F.greatest(F.lit(0), F.col("n") - whole(F.col("n") * similarity) + 1 - F.col("alone")))
+    places = cut(listed.select("node", "root", "n", "alone", F.posexplode(prefix).alias("k", "x")).where("x.live").select("node", "root", "n", (F.col("alone") + F.col("k")).alias("at"), "x.e"), "prefixes")
+    short = places.where(F.col("n") - F.col("at") >= whole(F.col("n") * 2 * share)).toDF("a", "ra", "na", "ata", "e")
+    long = places.toDF("b", "rb", "nb", "atb", "e")
+    room = F.least(F.col("na") - F.col("ata"), F.col("nb") - F.col("atb")) >= whole((F.col("na") + F.col("nb")) * share)
+    ordered = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
+    met = short.join(long, (short["e"] == long["e"]) & (F.col("ra") != F.col("rb")) & ordered & room)
+    return met.select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("root")).distinct()
+
+
 def text_md5(col: str) -> Column:
     """16 bytes; a null text counts as an empty one."""
     return F.unhex(F.md5(F.coalesce(F.col(col), F.lit("")).cast("binary")))

@@ -228,22 +228,63 @@ def test_near_duplicates(spark):
     assert simhash.near_duplicates(empty(spark)).count() == 0
 
 
-def test_buckets_of_any_size_are_compared_in_full():
+def test_neighbours_of_buckets():
     rng = np.random.default_rng(4)
-    flips = rng.random((300, 64)) < 0.12
-    fps = np.packbits(flips, axis=1).view(np.uint64)[:, 0]
+    fps = np.packbits(rng.random((300, 128)) < 0.12, axis=1).view(np.uint64)
+    bits = int(np.median([np.bitwise_count(fps[a] ^ fps[a + 1]).sum() for a in range(0, 300, 2)]))
     for keys in (np.zeros(300, np.int32), np.repeat(np.arange(30, dtype=np.int32), 10)):
         nodes = rng.permutation(300).astype(np.int64)
-        x, y, left = simhash.star_pairs(keys, nodes, fps, 12)
-        rest = np.isin(nodes, left)
-        roots = rng.integers(0, 3, 300)  # what the first round may have linked
-        found = set(zip(x.tolist(), y.tolist(), strict=True))
-        for x, y in simhash.apart_pairs(keys[rest], nodes[rest], fps[rest], roots[rest], 12, 1000):
-            found |= set(zip(x.tolist(), y.tolist(), strict=True))
-        for a in range(300):
-            for z in range(a):
-                if keys[a] == keys[z] and roots[a] != roots[z] and int(fps[a] ^ fps[z]).bit_count() <= 12:
-                    assert (min(nodes[a], nodes[z]), max(nodes[a], nodes[z])) in found
+        node, partner, _, more = simhash.neighbours(keys, nodes, fps, bits)
+        at = {int(n): k for k, n in enumerate(nodes)}
+        found = {n: (p, m) for n, p, m in zip(node.tolist(), partner.tolist(), more.tolist(), strict=True)}
+        for x in range(300):
+            close = {y for y in range(300) if y != x and keys[x] == keys[y] and np.bitwise_count(fps[x] ^ fps[y]).sum() <= bits}
+            if len(keys[keys == keys[x]]) > simhash.PAIRWISE:
+                assert found[int(nodes[x])][1]
+            else:
+                assert (int(nodes[x]) in found) == bool(close)
+                assert not close or (at[found[int(nodes[x])][0]] in close and found[int(nodes[x])][1] == (len(close) > 1))
+
+
+def test_prefix_pairs_lose_nothing(spark):
+    rng = random.Random(3)
+    sets = [set(rng.sample(range(40), rng.randint(1, 40))) for _ in range(80)]
+    for k in range(0, 80, 2):  # near ones, by a few changes
+        sets[k + 1] = set(sets[k]) ^ set(rng.sample(range(45), rng.randint(0, 4))) or {1}
+    roots = [rng.randint(0, 30) for _ in sets]
+    rows = spark.createDataFrame([(k, r, sorted(s)) for k, (s, r) in enumerate(zip(sets, roots, strict=True))], "node long, root long, shingles array<long>")
+    for t in (0.5, 0.8, 1.0):
+        got = {tuple(r) for r in simhash.prefix_pairs(rows, t).collect()}
+        want = {(a, b) for a in range(80) for b in range(a) if roots[a] != roots[b] and len(sets[a] & sets[b]) >= t * len(sets[a] | sets[b])}
+        assert want <= got and all(roots[a] != roots[b] for a, b in got)
+
+
+def test_near_duplicates_of_one_template(spark):
+    """One family of many sizes of change: components are those of all pairs, though most pairs are never listed."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    base = [word() for _ in range(120)]
+    texts = []
+    for _ in range(500):
+        own = list(base)
+        for at in rng.sample(range(120), rng.choice([0, 1, 1, 2, 3, 4, 6, 8])):
+            own[at] = word()
+        texts.append(" ".join(own))
+    sets = [set(simhash.shingle_hashes(t, 5).tolist()) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(texts)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(frame(spark, texts)).collect()}
+    assert got == {k: find(k) for k in range(len(texts))}
 
 
 def test_near_duplicates_compare_sets(spark):
