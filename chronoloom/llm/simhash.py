@@ -429,7 +429,8 @@ def near_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_col:
                 words = np.frombuffer(b"".join(part.column(0).to_pylist()), np.uint64).reshape(-1, WORDS)
                 members = np.concatenate((np.asarray(part.column(1))[:, None], words[:, :CARRIED].view(np.int64)), axis=1)
                 keys, at = table_keys(words)
-                to = (mix(keys.astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
+                # By table and first segment, so that a node goes to few parts.
+                to = (mix(keys.astype(np.uint64) >> np.uint64(12)) % np.uint64(parts)).astype(np.int64)
                 order = np.argsort(to, kind="stable")
                 keys, at, ends = keys[order], at[order], np.cumsum(np.bincount(to, minlength=parts))
                 full = np.flatnonzero(np.diff(ends, prepend=0))
