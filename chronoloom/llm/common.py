@@ -8,14 +8,18 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import re
+import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: White space of the contracts: a blank and 0x09 to 0x0D.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -57,29 +61,54 @@ def kept(key: object, make=lambda: None):
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new folder name below the cluster's shared checkpoint folder, which is set only where unset."""
-    root = spark.sparkContext.getCheckpointDir()
-    if root is None:
+    """A new folder name below the cluster's shared checkpoint folder.
+
+    Where the session names none, a folder of this machine serves as long as there is no other (a local master);
+    on a cluster that is an error, as executors would not see each other's files.
+    """
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
         root = spark.conf.get("spark.checkpoint.dir", None)
         if root is None:
-            root = "file:///tmp/chronoloom-checkpoints"
-        spark.sparkContext.setCheckpointDir(root)
-        root = spark.sparkContext.getCheckpointDir()
-    return f"{root}/{name}-{uuid.uuid4().hex}"
+            if not re.match(r"local(\[[^-]*\])?$", context.master):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            root = f"file://{tempfile.gettempdir()}/chronoloom-checkpoints"
+        context.setCheckpointDir(root)
+    return f"{context.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
+def fresh(name: str, taken: list[str]) -> str:
+    """``name``, with underscores behind it as long as there is such a column (Spark's names do not tell case apart)."""
+    taken = {c.lower() for c in taken}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
 
+def whole_id(df: DataFrame, col: str) -> Column:
+    """The id as a long. A null stays null; an id that is not a whole number is an error, not a null."""
+    own = F.col(col)
+    if isinstance(df.schema[col].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        return own.cast("long")
+    number = own.cast("string").try_cast("long")
+    return F.when(own.isNull() | number.isNotNull(), number).otherwise(F.raise_error(F.lit(f"{col} is not a whole number")).cast("long"))
 
-def cut(df: DataFrame, name: str = "stage") -> DataFrame:
+
+def cut(df: DataFrame, name: str = "stage", compression: str = "snappy") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends and lost executors cost nothing."""
     path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    df.write.option("compression", compression).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.cut_path = path
+    return out
 
 
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Remove a folder of intermediate files through Hadoop's file system."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+def uncut(*tables: DataFrame | None) -> None:
+    """Remove the files of tables that ``cut`` wrote and nothing will read again."""
+    for df in tables:
+        if df is not None and (path := getattr(df, "cut_path", None)):
+            p = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def chunks(batches: Iterable[pa.RecordBatch], column: str, size: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
@@ -123,20 +152,9 @@ BLANK = byte_table([32, *range(9, 14)])
 #: The same without folding.
 BLANK_AS_IS = np.where(BLANK == 0, BLANK, np.arange(256, dtype=np.uint8))
 
-_MULT = np.uint64(0x9E3779B97F4A7C15)
-_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_SALT = np.random.Generator(np.random.PCG64(20)).integers(1, 1 << 63, 256, dtype=np.uint64)
-_powers: dict[int, np.ndarray] = {}
-
-
-def _powered(base: np.uint64, n: int) -> np.ndarray:
-    got = _powers.get(int(base))
-    if got is None or len(got) < n:
-        out = np.full(max(n, 1 << 16), base, np.uint64)
-        out[0] = 1
-        np.multiply.accumulate(out, out=out)
-        _powers[int(base)] = got = out
-    return got[:n]
+#: Random numbers for a byte at each of a word's first places, a line of 256 for each place.
+_NEAR = 32
+_PLACED = np.random.Generator(np.random.PCG64(20)).integers(1, 1 << 63, 256 * _NEAR, dtype=np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -151,8 +169,8 @@ def mix(x: np.ndarray) -> np.ndarray:
 class Words:
     """The words of a chunk of texts: byte ranges in ``data``, the row each is in, and 64-bit hashes.
 
-    A hash is a polynomial over salted bytes, got for all words at once from one running sum; the
-    factor of a word's place is divided out, which an odd base allows modulo 2**64.
+    A hash is a sum over a number for each byte and its place in the word, got for all words at once from one
+    running sum. Hashes only find words: ``distinct`` and ``Lexicon`` compare the bytes.
     """
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, table: np.ndarray, breaks: np.ndarray | None = None) -> None:
@@ -183,20 +201,102 @@ class Words:
     def hashes(self) -> np.ndarray:
         n, sums = len(self.data), self.sums
         if sums is None:
+            begin = np.zeros(n, np.int64)
+            begin[self.starts] = self.starts
+            code = np.arange(n)
+            code -= np.maximum.accumulate(begin, out=begin)
+            code <<= 8
+            code += self.data
+            number = _PLACED.take(code, mode="clip")
+            far = np.flatnonzero(code >= len(_PLACED))
+            number[far] = mix(code[far].astype(np.uint64))
             sums = self.sums = np.zeros(n + 1, np.uint64)
-            np.cumsum(_SALT[self.data] * _powered(_MULT, n), out=sums[1:])
-        raw = (sums[self.ends] - sums[self.starts]) * _powered(_INV, n + 1)[self.starts]
-        return mix(raw + (self.ends - self.starts).astype(np.uint64))
+            np.cumsum(number, out=sums[1:])
+        return mix(sums[self.ends] - sums[self.starts] + (self.ends - self.starts).astype(np.uint64))
+
+    def distinct(self, raw: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(first word of each kind, kind of each word). ``raw``: the bytes that decide, if not ``data``."""
+        if not len(self):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        raw = self.data if raw is None else raw
+        kind, kinds = pd.factorize(self.hashes())
+        first = np.empty(len(kinds), np.int64)
+        first[kind[::-1]] = np.arange(len(kind) - 1, -1, -1)
+        like = first[kind]
+        again = np.flatnonzero(like != np.arange(len(kind)))
+        if same_bytes(raw, self.starts[again], self.ends[again], raw, self.starts[like[again]], self.ends[like[again]]).all():
+            return first, kind
+        text = raw.tobytes()  # two words of one hash: the bytes number the words
+        kind, _ = pd.factorize(np.array([text[a:z] for a, z in zip(self.starts.tolist(), self.ends.tolist(), strict=True)], object))
+        first = np.empty(kind.max() + 1, np.int64)
+        first[kind[::-1]] = np.arange(len(kind) - 1, -1, -1)
+        return first, kind
+
+    def packed(self, which: np.ndarray) -> pa.Array:
+        """The bytes of some words as a binary column."""
+        size = self.ends[which] - self.starts[which]
+        ends = np.cumsum(size)
+        data = self.data[np.arange(int(size.sum())) + np.repeat(self.starts[which] - ends + size, size)]
+        return pa.BinaryArray.from_buffers(pa.binary(), len(which), [None, pa.py_buffer(np.concatenate(([0], ends)).astype(np.int32)), pa.py_buffer(data)])
+
+
+def same_bytes(x: np.ndarray, start: np.ndarray, end: np.ndarray, y: np.ndarray, begin: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Whether x[start:end] equals y[begin:stop], for many at once."""
+    size = end - start
+    out = size == stop - begin
+    live = np.flatnonzero(out & (size > 0))
+    size = size[live]
+    ends = np.cumsum(size)
+    place = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(start[live] - ends + size, size)
+    wrong = np.flatnonzero(x[place] != y[place + np.repeat(begin[live] - start[live], size)])
+    out[live[np.searchsorted(ends, wrong, "right")]] = False
+    return out
+
+
+class Lexicon:
+    """A set of words, packed for broadcast: an offset for each and one run of bytes."""
+
+    def __init__(self, words: list[bytes], table: np.ndarray | None = None) -> None:
+        """``table``: how the bytes of texts are folded that words are looked up for."""
+        self.ends = np.cumsum([len(w) for w in words], dtype=np.int64)
+        self.starts = self.ends - np.array([len(w) for w in words], np.int64)
+        self.data = np.frombuffer(b"".join(words), np.uint8)
+        if table is not None:
+            self.data = table[self.data]
+        hashes = hash_ranges(self.data, self.starts, self.ends)
+        self.order = np.argsort(hashes, kind="stable")
+        self.hashes = hashes[self.order]
+        self.filter = np.zeros(1 << 20, bool)
+        self.filter[(self.hashes >> np.uint64(44)).astype(np.int64)] = True
 
-
-def hash_words(words: list[bytes], table: np.ndarray) -> np.ndarray:
-    """Hashes of single words, equal to those of ``Words``; each is taken as one word whatever its bytes."""
-    data = table[np.frombuffer(b"".join(words), np.uint8)] if words else np.zeros(0, np.uint8)
-    ends = np.cumsum([len(w) for w in words], dtype=np.int64)
+    def __len__(self) -> int:
+        return len(self.hashes)
+
+    def find(self, words: Words, which: np.ndarray | None = None) -> np.ndarray:
+        """The number of each word (or of some), -1 for those that are not here. Bytes decide, not hashes."""
+        hashes = words.hashes() if which is None else words.hashes()[which]
+        out = np.full(len(hashes), -1, np.int64)
+        at = np.flatnonzero(self.filter[(hashes >> np.uint64(44)).astype(np.int64)]) if len(self) else np.zeros(0, np.int64)
+        near = np.searchsorted(self.hashes, hashes[at])
+        while len(at):  # words of one hash are next to each other, and tried in turn
+            here = near < len(self)
+            at, near = at[here], near[here]
+            here = self.hashes[near] == hashes[at]
+            at, near = at[here], near[here]
+            own, number = at if which is None else which[at], self.order[near]
+            same = same_bytes(words.data, words.starts[own], words.ends[own], self.data, self.starts[number], self.ends[number])
+            out[at[same]] = number[same]
+            at, near = at[~same], near[~same] + 1
+        return out
+
+
+def hash_ranges(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of the words at these places, equal to those of ``Words``; each is taken as one word whatever its bytes."""
     own = Words.__new__(Words)
-    own.sums = None
-    own.data, own.starts, own.ends = data, ends - np.array([len(w) for w in words], np.int64), ends
-    return own.hashes()
+    own.sums, own.data, own.starts, own.ends = None, data, starts[ends > starts], ends[ends > starts]
+    out = np.full(len(starts), mix(np.zeros(1, np.uint64))[0])
+    out[ends > starts] = own.hashes()
+    return out
 
 
 class Remembered:
@@ -238,7 +338,7 @@ class Remembered:
         rows = len(words.offsets) - 1
         if not len(words):
             return np.zeros(0, np.int32), np.zeros(rows, np.int64)
-        _, first, number = np.unique(words.hashes(), return_index=True, return_inverse=True)
+        first, number = words.distinct(np.frombuffer(raw, np.uint8))
         distinct = [raw[a:z] for a, z in zip(words.starts[first].tolist(), words.ends[first].tolist(), strict=True)]
         if len(self.slots) + len(distinct) > self.most:
             self._reset()

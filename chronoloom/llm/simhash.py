@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, cut, kept, mix
+from .common import chunks, cut, kept, mix, uncut, whole_id
 
 BITS = 4
 SHINGLE = 4
@@ -72,7 +72,7 @@ def fingerprints(docs: DataFrame, size: int = SHINGLE, id_col: str = "doc_id", t
             fps = np.array([fingerprint(shingle_hashes(t, size)) for t in b.column(1).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).alias("t")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(whole_id(docs, id_col).alias("d"), F.col(text_col).alias("t")).mapInArrow(run, "doc_id long, fp long")
 
 
 class Golay:
@@ -250,17 +250,19 @@ def components(edges: DataFrame) -> DataFrame:
         hooks = cut(both.groupBy("node").agg(F.min("root").alias("_r")).select("node", F.least("node", "_r").alias("root")), "hooks")
         while True:  # halve the paths until all lead to a root
             up = hooks.select(F.col("node").alias("root"), F.col("root").alias("top"))
-            jumped = cut(hooks.join(up, "root").select("node", F.col("top").alias("root"), (F.col("top") != F.col("root")).alias("moved")), "jumps")
-            hooks = jumped.select("node", "root")
+            jumped = cut(hooks.join(up, "root").select("node", F.col("top").alias("root"), (F.col("top") != F.col("root")).alias("moved")), "hooks")
+            uncut(hooks)
+            hooks = jumped
             if jumped.where("moved").isEmpty():
                 break
-        if done is None:
-            done = hooks
-        else:
-            more = done.join(hooks.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left")
-            done = cut(more.select("node", F.coalesce("top", "root").alias("root")), "roots")
+        more = hooks.select("node", "root")
+        if done is not None:
+            more = done.join(hooks.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+        roots = cut(more, "roots")
         to = lambda name: hooks.select(F.col("node").alias(name), F.col("root").alias(f"_{name}"))
-        edges = cut(edges.join(to("node"), "node").join(to("root"), "root").select(F.col("_node").alias("node"), F.col("_root").alias("root")).where("node != root").distinct(), "edges")
+        rest = cut(edges.join(to("node"), "node").join(to("root"), "root").select(F.col("_node").alias("node"), F.col("_root").alias("root")).where("node != root").distinct(), "edges")
+        uncut(edges, hooks, done)
+        edges, done = rest, roots
     return done if done is not None else edges
 
 
@@ -413,7 +415,7 @@ def near_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_col:
             cells = [[xxhash.xxh3_128_digest(s.tobytes()) for s in sets], [wide_fingerprint(s) for s in sets]]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *(pa.array(c, pa.binary()) for c in cells)], ["doc_id", "text_md5", "set", "bits"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).alias("t"), text_md5(text_col).alias("m"))
+    rows = docs.select(whole_id(docs, id_col).alias("d"), F.col(text_col).alias("t"), text_md5(text_col).alias("m"))
     sketches = cut(rows.mapInArrow(sketch, "doc_id long, text_md5 binary, set binary, bits binary"), "sketches")
     nodes = sketches.groupBy("set").agg(F.min(F.struct("text_md5", "bits")).alias("x"), F.min("doc_id").alias("label"))
     nodes = cut(nodes.select(F.monotonically_increasing_id().alias("node"), "set", "label", F.col("x.text_md5").alias("first"), F.col("x.bits").alias("bits")), "nodes")
@@ -520,6 +522,7 @@ def prefix_pairs(members: DataFrame, similarity: float) -> DataFrame:
     return met.select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("root")).distinct()
 
 
-def text_md5(col: str) -> Column:
+def text_md5(col: str | Column) -> Column:
     """16 bytes; a null text counts as an empty one."""
-    return F.unhex(F.md5(F.coalesce(F.col(col), F.lit("")).cast("binary")))
+    text = F.col(col) if isinstance(col, str) else col
+    return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))

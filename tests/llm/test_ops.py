@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
 from chronoloom.llm import decontaminate, exact_dedup, language, line_dedup, lm_score, queries, sentencepiece, simhash, token_counts, token_ids, toxicity  # noqa: E402
-from chronoloom.llm.common import ALNUM, BLANK, Words, buffers, chunks, hash_words, id_crc  # noqa: E402
+from chronoloom.llm.common import ALNUM, BLANK, Lexicon, Words, buffers, chunks, hash_ranges, id_crc  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _t string, score double"
@@ -42,7 +42,9 @@ def test_words_and_hashes():
     w = Words(data, offsets, ALNUM)
     found = [w.data[x:z].tobytes() for x, z in zip(w.starts, w.ends, strict=True)]
     assert found == [b"ab", b"cd", "é1".encode(), b"x", b"ab"] and w.rows.tolist() == [0, 0, 3, 3, 4]
-    assert w.hashes().tolist() == hash_words(found, ALNUM).tolist() and len(set(w.hashes().tolist())) == 4
+    ends = np.cumsum([len(x) for x in found])
+    alone = hash_ranges(np.frombuffer(b"".join(found), np.uint8), ends - [len(x) for x in found], ends)
+    assert w.hashes().tolist() == alone.tolist() and len(set(alone.tolist())) == 4
     assert w.per_row.tolist() == [2, 0, 0, 2, 1]
     sliced = pa.array(["zz", "Ab cd"]).slice(1)
     assert len(Words(*buffers(sliced), BLANK)) == 2
@@ -64,20 +66,37 @@ def test_exact_dedup(spark):
     assert exact_dedup.exact_dedup(empty(spark)).count() == 0
 
 
+def thue_morse(n=2048):
+    """Two words that hashes by polynomials modulo a power of two cannot tell apart."""
+    bits = [bin(k).count("1") % 2 for k in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_words_of_one_hash_are_told_apart(monkeypatch):
+    texts = pa.array(["x yy x " + " ".join(thue_morse()), "yy zz zz x", "zz"])
+    for blind in (False, True):
+        if blind:
+            monkeypatch.setattr(Words, "hashes", lambda self: np.zeros(len(self.starts), np.uint64))
+        w = Words(*buffers(texts), BLANK)
+        first, kind = w.distinct()
+        spelt = [w.data[a:z].tobytes() for a, z in zip(w.starts, w.ends, strict=True)]
+        assert [spelt[k] for k in first[kind]] == spelt and len(first) == len(set(spelt)) == 5
+        book = Lexicon([b"zz", thue_morse()[1].encode(), b"yy", b"none"])
+        assert book.find(w).tolist() == [{b"zz": 0, thue_morse()[1].encode(): 1, b"yy": 2}.get(x, -1) for x in spelt]
+        assert w.packed(first).to_pylist() == [spelt[k] for k in first]
+
+
 def test_decontamination_matches_brute_force(spark):
     rng = random.Random(5)
     words = ["a", "B", "cc", "d1", "é", "the"]
     text = lambda n: rng.choice([" ", ", ", "\n"]).join(rng.choice(words) for _ in range(n))
-    docs = [(k, text(rng.randint(0, 200))) for k in range(60)] + list(enumerate(ODD, 100))
-    items = [(k, text(n)) for k, n in enumerate([0, 1, 2, 3, 4, 5, 6, 9, 10, 11, 12])] + [(20, None), (None, "a B cc"), (21, docs[3][1][:60]), (21, "the the")]
+    docs = [(k, text(rng.randint(0, 200))) for k in range(60)] + list(enumerate(ODD, 100)) + [(200, "x" * 300_000 + " the the")]
+    items = [(k, text(n)) for k, n in enumerate([0, 1, 2, 3, 4, 5, 6, 9, 10, 11, 12])] + [(20, None), (None, "a B cc"), (21, docs[3][1][:60]), (21, "the the"), (22, "x" * 300_000)]
     bench = spark.createDataFrame(items, "item_id long, text string")
     want = sorted(decontaminate.brute_force(docs, items))
-    for size, limit in ((10, 10**6), (10, 15)):
-        got = decontaminate.decontaminate(frame(spark, [t for _, t in docs], [d for d, _ in docs]), bench, size, broadcast_words=limit).collect()
-        assert sorted((r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in got) == want
-    book = spark.sparkContext.broadcast(decontaminate.Phrases(decontaminate.windows_of([x for x in items if x[0] is not None], 10)))
-    stored = decontaminate.build_segments(frame(spark, [t for _, t in docs], [d for d, _ in docs]), book)
-    assert sorted((r.doc_id, r.n_words, len(r.items)) for r in decontaminate.search(stored, book).collect()) == sorted((d, n, k) for d, n, _, k, _, _ in want)
+    for size, limit in ((10, 10**6), (10, 30)):
+        got = decontaminate.decontaminate(frame(spark, [t for _, t in docs], [d for d, _ in docs]), bench, size, broadcast_bytes=limit).collect()
+        assert sorted(tuple(r)[:7] for r in got) == want
     assert decontaminate.decontaminate(empty(spark), bench).count() == 0
     clean = decontaminate.decontaminate(frame(spark, ["a b"]), bench.limit(0)).collect()
     assert [(r.n_words, r.n_hit, r.contaminated) for r in clean] == [(2, 0, False)]
@@ -86,24 +105,33 @@ def test_decontamination_matches_brute_force(spark):
 def test_decontamination_in_parts_keeps_rows(spark):
     words = [f"w{k}" for k in range(60)]
     a, b, clean = " ".join(words[:20]), " ".join(words[30:50]), " ".join(f"c{k}" for k in range(20))
-    docs = [(None, a), (None, clean), (None, b), (7, clean), (7, a), (7, f"{a} {b}"), (7, a), (8, None)]
+    docs = [(None, a), (None, clean), (None, b), (7, clean), (7, a), (7, f"{a} {b}"), (7, a), (8, None), (9, " ".join([*words[:5], "or", *words[5:20]]))]
     items = [("x", a), ("y", b), ("z", " ".join(words[5:40]))]
     table = spark.createDataFrame(items, "item_id string, text string")
     key = lambda r: tuple(map(str, r))
     want = sorted(decontaminate.brute_force(docs, items), key=key)
-    for most in (1, 30, 1_000_000):
-        got = decontaminate.decontaminate(frame(spark, [t for _, t in docs], [d for d, _ in docs]), table, broadcast_words=most)
-        assert sorted((tuple(r)[:6] for r in got.collect()), key=key) == want, most
+    for most in (1, 90, 1_000_000):
+        got = decontaminate.decontaminate(frame(spark, [t for _, t in docs], [d for d, _ in docs]), table, broadcast_bytes=most)
+        assert sorted((tuple(r)[:7] for r in got.collect()), key=key) == want, most
+
+
+def test_the_index_holds_all_tokens(spark):
+    texts = ["b a, a", None, "C a"]
+    rows = decontaminate.build_segments(frame(spark, texts).coalesce(1)).collect()
+    assert len(rows) == 1
+    index = decontaminate.Index.stored(rows[0].terms, rows[0].term_ends, rows[0].list_ends, rows[0].postings)
+    found, ends, at = {}, [0, *index.term_ends.tolist()], [0, *index.list_ends.tolist()]
+    for k in range(len(index.term_ends)):
+        found[index.terms[ends[k] : ends[k + 1]].tobytes()] = index.postings[at[k] : at[k + 1]].tolist()
+    assert found == {b"b": [0], b"a": [1, 2, 4], b"c": [3]}
 
 
 def test_proximity():
     book = decontaminate.Phrases({(b"a", b"b"): {"1"}})
     w = Words(*buffers(pa.array(["a x b a b", "a x x x b"])), ALNUM)
-    term = book.term_of(w)
-    at = np.flatnonzero(term >= 0)
-    keys = np.sort((term[at] << 32) | at)
-    p, start, last = decontaminate.proximity_matches(book, keys, 1)
-    assert list(zip(start.tolist(), last.tolist(), strict=True)) == [(0, 2), (3, 4)]
+    keys = decontaminate.Index.of(w).keys(book.lexicon)
+    _, start, last = decontaminate.proximity_matches(book, keys, 1)
+    assert sorted(zip(start.tolist(), last.tolist(), strict=True)) == [(0, 2), (3, 4)]
     assert decontaminate.phrase_matches(book, keys)[1].tolist() == [3]
 
 
@@ -542,7 +570,7 @@ def test_pipeline_decides_per_row(spark, tmp_path):
     rows = [(None, join(a)), (None, join(clean)), (4, join(a)), (4, join(b))]
     for kept in (
         pipeline.drop_contaminated(spark, frame(spark, [t for _, t in rows], [d for d, _ in rows]), str(tmp_path)),
-        decontaminate.flagged(frame(spark, [t for _, t in rows], [d for d, _ in rows]), spark.createDataFrame([("x", join(a[:20])), ("y", "zz")], "item_id string, text string"), broadcast_words=1).where("not _contaminated").drop("_contaminated"),
+        decontaminate.flagged(frame(spark, [t for _, t in rows], [d for d, _ in rows]), spark.createDataFrame([("x", join(a[:20])), ("y", "zz")], "item_id string, text string"), broadcast_bytes=1).where("not contaminated").drop("contaminated"),
     ):
         assert {(r.doc_id, r.text) for r in kept.collect()} == {(None, join(clean)), (4, join(b))}
     near = [*b[:60], word(), *b[61:]]
