@@ -24,12 +24,14 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier scores below its threshold. It learns from the labels that op4 learns from."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     learnt = ~F.coalesce(id_crc("_id") % 3 == 1, F.lit(False))
-    return toxicity.scored(docs, labels, learnt).where(F.col("_score") < toxicity.THRESHOLD).select(*docs.columns)
+    found = toxicity.scored(docs, labels, learnt)
+    return found.where(F.col(found.columns[-1]) < toxicity.THRESHOLD).drop(found.columns[-1])
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the lines that repeat an earlier run of lines."""
-    return line_dedup.line_dedup(docs).withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+    found = line_dedup.line_dedup(docs)
+    return found.drop(*found.columns[-2:]).withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,14 +40,17 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Rows go by id and text, so one that only shares its id with a near copy stays.
     """
     groups = simhash.near_groups(docs, SHINGLE, SIMILARITY)
-    gone = groups.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone"), "text_md5").distinct()
-    return docs.join(gone, (F.col("doc_id") == F.col("_gone")) & (simhash.text_md5("text") == F.col("text_md5")), "left_anti")
+    gone = groups.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("gone_id"), F.col("text_md5").alias("gone_text")).distinct()
+    # The columns go by number meanwhile, so that none clashes with these.
+    numbered = docs.toDF(*(f"c{k}" for k in range(len(docs.columns))))
+    own_id, text = (F.col(f"c{docs.columns.index(c)}") for c in ("doc_id", "text"))
+    return numbered.join(gone, (own_id == F.col("gone_id")) & (simhash.text_md5(text) == F.col("gone_text")), "left_anti").toDF(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no window of a benchmark item occurs; each row is decided by its own text."""
     found = decontaminate.flagged(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return found.where(~F.col("_contaminated")).drop("_contaminated")
+    return found.where(~F.col(found.columns[-1])).drop(found.columns[-1])
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
