@@ -1,22 +1,25 @@
 """Language-model scoring with a hashed maximum-entropy model over class-factored outcomes.
 
 A token's probability is that of its class, given the tokens before it, times that of the token within its class.
-The most frequent tokens are classes of their own; the others fall into classes by their last two
-letters, and within these a token's only feature is itself, whose best weight is its count (plus one; a token
-that was never seen counts as the one unknown token of its class), so the factor is closed-form. The class is a
-softmax over hashed features of the history: the class before, the two before as a pair, the second and the third
-before (skips), and the word before. Feature weights begin at log P(class | feature) / P(class) from the whole
-training corpus; a scale for each template and frequency band of features is then trained by rounds of
-distributed gradient updates (each with the curvature, so a round is a Newton step) on documents that those
-counts leave out. Scoring works in batches of sparse rows of the weight table.
-
-Counts are exact and cover all training documents; words are told apart by 64 bits of hash. At most ``KNOWN``
-words, the most frequent ones, are broadcast; the counts of all rarer ones are joined in by word, aggregated per document before.
-What is broadcast is bounded by ``KNOWN`` and by the model's fixed size, whatever the corpus.
+The most frequent tokens are classes of their own; the others fall into classes by their last two letters, and within
+these a token's only feature is itself, whose best weight is its count (plus one; a token that was never seen counts as
+the one unknown token of its class), so that factor is closed-form. The class is a softmax over hashed features of the
+history: the class before, the two before as a pair, the second and the third before (skips), and the word before.
+
+The weights are trained by rounds of distributed gradient updates over all training documents. A round's gradient is what
+was observed of each (feature, class) less what the model expects; tasks add it up over their documents and send one
+table each. As every token has one feature of each template, a weight may move by log(observed / expected) over the number of
+templates, which never lowers the likelihood (generalised iterative scaling). Expectations of the first round, from weights
+of zero, are the classes' shares and need no pass. Scoring works in batches of sparse rows of the weight table.
+
+Counts are exact, cover all training documents, and tell words apart by their bytes. At most ``KNOWN`` words, the most
+frequent ones, are broadcast; the counts of all rarer ones are joined in by word, aggregated per document before. What is
+broadcast is bounded by ``KNOWN`` and by the model's fixed size, whatever the corpus.
 
 Nulls: a null or empty text is its end token alone. Rows with a null id train (their remainder is unknown, hence not
-the held-out one) and are scored. Rows that repeat both id and text score alike. If nothing is to be learnt from, every
-token is unknown. An empty table gives an empty result.
+the held-out one) and are scored. Every row is scored by itself, so repeats score alike. A very long text is worked on as
+one. If nothing is to be learnt from, every token is unknown. An empty table gives an empty result. Other
+columns than the named ones are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,48 +31,66 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANK, Words, buffers, chunks, cut, mix
+from .common import BLANK, Lexicon, Words, buffers, chunks, cut, kept, mix
 
-#: Frequent tokens that are classes of their own (the end token included), and classes of the others.
-SINGLE, TAIL = 96, 96
+#: Frequent tokens that are classes of their own, and classes of the others.
+SINGLE, TAIL = 32, 32
 CLASSES = SINGLE + TAIL
 #: Rows of the hashed templates.
-HASHED = 4096
+HASHED = 2048
 #: Templates: class before; pair of classes before; second before; third before; word before.
 SIZES = (CLASSES + 1, HASHED, CLASSES + 1, CLASSES + 1, HASHED)
 OFFSETS = tuple(int(x) for x in np.cumsum((0, *SIZES[:-1])))
 ROWS = sum(SIZES)
-#: Bands of a feature's count, each with a scale of its own in each template.
-BANDS = (30, 300, 3000)
-#: Training documents in this remainder (of 7) train the scales; the rest gives the counts.
-DEVELOPMENT, ROUNDS = 3, 4
-#: Most frequent words that are broadcast with their counts (12 bytes each).
+#: Rounds over the training documents after the closed-form one.
+ROUNDS = 2
+#: Most frequent words that are broadcast with their counts.
 KNOWN = 250_000
-#: Weight of the class distribution in a feature's smoothed one.
-PRIOR = 20.0
-END = np.uint64(0xE0D)
+#: Tokens of the class distribution that are added to what was observed and expected of each feature.
+PRIOR = 5.0
+#: The end token; no word holds white space.
+END = b"\n"
 BATCH = 4096
 
 
+#: Of each pair of classes before, the rows of its three features: class before, the pair, second before.
+_PAIRS = np.arange((CLASSES + 1) ** 2)
+PAIR_ROWS = np.stack((_PAIRS % (CLASSES + 1) + OFFSETS[0], (mix(_PAIRS.astype(np.uint64)) % np.uint64(HASHED)).astype(np.int64) + OFFSETS[1], _PAIRS // (CLASSES + 1) + OFFSETS[2]))
+
+
 class Tokens:
-    """The tokens of a chunk of texts, each text with its end: hash, tail class, row."""
+    """The tokens of a chunk of texts, each text with its end, as numbers of distinct words (the end is the last)."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray) -> None:
-        words = Words(data, offsets, BLANK)
+        words = self.words = Words(data, offsets, BLANK)
         rows = len(offsets) - 1
         self.sizes = words.per_row + 1
-        n = len(words) + rows
         self.rows = np.repeat(np.arange(rows), self.sizes)
-        at = np.arange(len(words)) + words.rows
-        self.hash = np.full(n, END, np.uint64)
-        self.tail = np.zeros(n, np.int64)
-        if len(words):
-            self.hash[at] = words.hashes()
-            d, z = words.data, words.ends - 1
-            mark = (d[z] < 48) & (z > words.starts)  # one sign at the end is told apart
-            z = z - mark
-            pair = d[z].astype(np.uint64) | np.where(z > words.starts, d[z - 1], 0).astype(np.uint64) << np.uint64(8) | mark.astype(np.uint64) << np.uint64(16)
-            self.tail[at] = (mix(pair) % np.uint64(TAIL)).astype(np.int64)
+        self.first, kind = words.distinct()
+        self.kind = np.full(len(kind) + rows, len(self.first))
+        self.kind[np.arange(len(kind)) + words.rows] = kind
+        # The class by letters: the last two, where one sign at the end is told apart.
+        d, begin, last = words.data, words.starts[self.first], words.ends[self.first] - 1
+        if len(self.first):
+            mark = (d[last] < 48) & (last > begin)
+            last = last - mark
+            pair = d[last].astype(np.uint64) | np.where(last > begin, d[last - 1], 0).astype(np.uint64) << np.uint64(8) | mark.astype(np.uint64) << np.uint64(16)
+            self.tail = np.append((mix(pair) % np.uint64(TAIL)).astype(np.int64), 0)
+            self.hashed = np.append((words.hashes()[self.first] % np.uint64(HASHED)).astype(np.int64), 0)
+        else:
+            self.tail = self.hashed = np.zeros(1, np.int64)
+
+    def column(self, which: np.ndarray) -> pa.Array:
+        """The words of some kinds."""
+        own = which < len(self.first)
+        packed = self.words.packed(self.first[which[own]])
+        if own.all():
+            return packed
+        return pa.concat_arrays([packed, pa.array([END], pa.binary())]).take(pa.array(np.where(own, np.cumsum(own) - 1, len(packed))))
+
+    def numbers(self, lexicon: Lexicon, end: int) -> np.ndarray:
+        """Each kind's number in the lexicon, -1 if it is not there; ``end`` is the end token's."""
+        return np.append(lexicon.find(self.words, self.first), end)
 
     def back(self, values: np.ndarray, n: int, start: int) -> np.ndarray:
         """The value n tokens before, ``start`` where the text begins later."""
@@ -78,160 +99,175 @@ class Tokens:
             out[n:] = np.where(self.rows[n:] == self.rows[:-n], values[:-n], start)
         return out
 
-    def classes(self, singles: np.ndarray) -> np.ndarray:
-        if not len(singles):
-            return self.tail + SINGLE
-        at = np.minimum(np.searchsorted(singles, self.hash), len(singles) - 1)
-        return np.where(singles[at] == self.hash, at, self.tail + SINGLE)
+    def classes(self, singles: Singles) -> np.ndarray:
+        number = self.numbers(singles.lexicon, singles.end)
+        return np.where(number >= 0, number, self.tail + SINGLE)[self.kind]
 
     def features(self, classes: np.ndarray) -> np.ndarray:
-        """Rows of the weight table: a line for each template."""
+        """What the history has: the pair of classes before (which names three features), the third before, the word before."""
         c1, c2, c3 = (self.back(classes, k, CLASSES) for k in (1, 2, 3))
-        pair = (mix((c2 * (CLASSES + 1) + c1).astype(np.uint64)) % np.uint64(HASHED)).astype(np.int64)
-        word = (self.back(self.hash, 1, 0) % np.uint64(HASHED)).astype(np.int64)
-        return np.stack([x + o for x, o in zip((c1, pair, c2, c3, word), OFFSETS, strict=True)])
+        return np.stack((c2 * (CLASSES + 1) + c1, c3 + OFFSETS[3], self.back(self.hashed[self.kind], 1, 0) + OFFSETS[4]))
+
+
+class Singles:
+    """The words that are classes of their own; ``end`` is the end token's class, -1 if it is none."""
+
+    def __init__(self, words: list[bytes]) -> None:
+        self.end = words.index(END) if END in words else -1
+        self.lexicon = Lexicon(words)
 
 
 class Model:
-    """Class distribution, weight table and scales."""
+    """Class distribution and weights of (feature, class)."""
 
-    def __init__(self, singles: np.ndarray, cells: np.ndarray) -> None:
-        """``cells``: how often each (row, class) was seen."""
-        self.singles = singles
-        table = cells.reshape(ROWS, CLASSES).astype(np.float64)
-        seen = table[: SIZES[0]].sum(axis=0) + 1.0
+    def __init__(self, observed: np.ndarray) -> None:
+        """``observed``: how often each class followed each feature. The closed-form first round is done here."""
+        self.observed = observed.reshape(ROWS, CLASSES)
+        seen = self.observed[: SIZES[0]].sum(axis=0) + 1.0
         self.prior = seen / seen.sum()
-        total = table.sum(axis=1)
-        self.weights = (np.log((table + PRIOR * self.prior) / (total + PRIOR)[:, None]) - np.log(self.prior)).astype(np.float32)
-        bands = np.searchsorted(BANDS, total)
-        template = np.repeat(np.arange(len(SIZES)), SIZES)
-        self.group = template * (len(BANDS) + 1) + bands
-        self.scales = np.full(len(SIZES) * (len(BANDS) + 1), 0.5)
-        self._logs()
-
-    def _logs(self) -> None:
-        self.scaled = self.weights * self.scales[self.group][:, None].astype(np.float32)
         self.log_prior = np.log(self.prior).astype(np.float32)
+        self.weights = np.zeros((ROWS, CLASSES), np.float32)
+        self.update(self.observed.sum(axis=1)[:, None] * self.prior)
+
+    def update(self, expected: np.ndarray) -> None:
+        """One step along the gradient, observed less expected."""
+        smooth = PRIOR * self.prior
+        self.weights += (np.log((self.observed + smooth) / (expected + smooth)) / len(SIZES)).astype(np.float32)
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "observed"}
+
+    def _batches(self, features: np.ndarray, classes: np.ndarray) -> Iterator[tuple]:
+        """(features, classes, logits, exponentials, their sums). Logits are sums of a few logarithms of shares, so none runs over."""
+        pairs, ones = self.weights[PAIR_ROWS].sum(axis=0) + self.log_prior, np.ones(CLASSES, np.float32)
+        for a in range(0, len(classes), BATCH):
+            pair, third, word = features[:, a : a + BATCH]
+            logits = pairs.take(pair, axis=0)
+            logits += self.weights.take(third, axis=0)
+            logits += self.weights.take(word, axis=0)
+            p = np.exp(logits)
+            yield features[:, a : a + BATCH], classes[a : a + BATCH], logits, p, p @ ones
 
     def log_class(self, features: np.ndarray, classes: np.ndarray) -> np.ndarray:
         """ln P(class | history) of each token."""
-        out = np.empty(len(classes))
-        for a in range(0, len(classes), BATCH):
-            f, c = features[:, a : a + BATCH], classes[a : a + BATCH]
-            logits = self.log_prior + self.scaled[f[0]]
-            for row in f[1:]:
-                logits += self.scaled[row]
-            top = logits.max(axis=1)
-            own = logits[np.arange(len(c)), c]
-            np.exp(logits - top[:, None], out=logits)
-            out[a : a + BATCH] = own - top - np.log(logits.sum(axis=1))
-        return out
+        out = [logits[np.arange(len(c)), c] - np.log(total) for _, c, logits, _, total in self._batches(features, classes)]
+        return np.concatenate([*out, np.zeros(0)])
 
-    def gradient(self, features: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Gradient of the log-likelihood by the scales, and its negative curvature."""
-        k = len(self.scales)
-        g, h = np.zeros(k), np.zeros((k, k))
-        for a in range(0, len(classes), BATCH):
-            f, c = features[:, a : a + BATCH], classes[a : a + BATCH]
-            logits = self.log_prior + sum(self.scaled[row] for row in f)
-            p = np.exp(logits - logits.max(axis=1, keepdims=True))
-            p /= p.sum(axis=1, keepdims=True)
-            weights = [self.weights[row] for row in f]
-            means = np.stack([(p * w).sum(axis=1) for w in weights])
-            groups = self.group[f]
-            for i, w in enumerate(weights):
-                g += np.bincount(groups[i], w[np.arange(len(c)), c] - means[i], k)
-                for j in range(i + 1):
-                    both = (p * w * weights[j]).sum(axis=1) - means[i] * means[j]
-                    part = np.bincount(groups[i] * k + groups[j], both, k * k).reshape(k, k)
-                    h += part if i == j else part + part.T
-        return g, h
+    def expect(self, features: np.ndarray, classes: np.ndarray, pairs: np.ndarray, out: np.ndarray) -> float:
+        """Add what the model expects of each (pair of classes before, class) and (feature, class); returns the log-likelihood."""
+        likelihood = 0.0
+        for f, c, logits, p, total in self._batches(features, classes):
+            likelihood += float((logits[np.arange(len(c)), c] - np.log(total)).sum())
+            p /= total[:, None]
+            for row, table in zip(f, (pairs, out, out), strict=True):
+                order = np.argsort(row.astype(np.int16), kind="stable")
+                own = row[order]
+                first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+                table[own[first]] += np.add.reduceat(p.take(order, axis=0), first, axis=0)
+        return likelihood
 
 
-def vocabulary(docs: DataFrame) -> DataFrame:
-    """(h, tail, c): each training token's hash, class by its letters, and count. Tasks add up before they shuffle."""
+def tables() -> tuple[np.ndarray, np.ndarray]:
+    """Empty sums by (pair of classes before, class) and by (feature, class)."""
+    return np.zeros((len(_PAIRS), CLASSES)), np.zeros((ROWS, CLASSES))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, tails, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        waiting: list[tuple] = []
 
-        def merged() -> tuple:
-            k = np.concatenate([x[0] for x in waiting])
-            own, first, at = np.unique(k, return_index=True, return_inverse=True)
-            return own, np.concatenate([x[1] for x in waiting])[first], np.bincount(at, np.concatenate([x[2] for x in waiting])).astype(np.int64)
+def folded(pairs: np.ndarray, out: np.ndarray) -> np.ndarray:
+    """One table: a pair's sums go to all of its features."""
+    for rows in PAIR_ROWS:
+        np.add.at(out, rows, pairs)
+    return out
+
 
-        def out(keys, tails, counts):
-            for a in range(0, len(keys), 1 << 16):
-                yield pa.RecordBatch.from_arrays([pa.array(x[a : a + (1 << 16)]) for x in (keys.view(np.int64), tails, counts)], ["h", "tail", "c"])
+def vocabulary(docs: DataFrame) -> DataFrame:
+    """(w, tail, c): each training token, its class by letters, and its count. Tasks add up before they shuffle."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept("lm_score")
+        waiting: list[pa.Table] = []
         size = 0
+
+        def merged() -> pa.Table:
+            return pa.concat_tables(waiting).group_by("w").aggregate([("tail", "min"), ("c", "sum")]).rename_columns(["w", "tail", "c"])
+
         for b in chunks(batches, "t"):
             t = Tokens(*buffers(b.column(0)))
-            own, first, n = np.unique(t.hash, return_index=True, return_counts=True)
-            waiting.append((own, t.tail[first], n))
-            size += len(own)
-            if size > 3_000_000:
+            which = np.arange(len(t.first) + 1)
+            waiting.append(pa.table([t.column(which), pa.array(t.tail), pa.array(np.bincount(t.kind, minlength=len(which)))], names=["w", "tail", "c"]))
+            size += len(which)
+            if size > 2_000_000:
                 waiting = [merged()]
-                size = len(waiting[0][0])
-                if size > 1_500_000:
-                    yield from out(*waiting.pop())
+                size = len(waiting[0])
+                if size > 1_000_000:
+                    yield from waiting.pop().to_batches(1 << 16)
                     size = 0
         if waiting:
-            keys, tails, counts = merged()
-            yield from out(keys, tails, counts)
+            yield from merged().to_batches(1 << 16)
+
+    return docs.select("t").mapInArrow(run, "w binary, tail long, c long").groupBy("w").agg(F.min("tail").alias("tail"), F.sum("c").alias("c"))
 
-    return docs.select("t").mapInArrow(run, "h long, tail long, c long").groupBy("h").agg(F.first("tail").alias("tail"), F.sum("c").alias("c"))
 
+def summed(docs: DataFrame, work) -> tuple[np.ndarray, float]:
+    """The sum over all texts of what ``work(tokens, *tables)`` adds to ``tables``, folded, and of what it returns.
 
-def class_cells(docs: DataFrame, singles) -> DataFrame:
-    """(cell, n): how often each class followed each feature."""
+    Each task sends one row for each row of the table that it has touched; the driver gets one table.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = np.zeros(ROWS * CLASSES, np.int64)
+        kept("lm_score")
+        sums, more = tables(), 0.0
         for b in chunks(batches, "t"):
-            t = Tokens(*buffers(b.column(0)))
-            classes = t.classes(singles.value)
-            for row in t.features(classes):
-                cells += np.bincount(row * CLASSES + classes, minlength=len(cells))
-        at = np.flatnonzero(cells)
-        for a in range(0, len(at), 1 << 16):
-            part = at[a : a + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(cells[part])], ["cell", "n"])
-
-    return docs.select("t").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+            more += work(Tokens(*buffers(b.column(0))), *sums)
+        table = folded(*sums)
+        own = np.flatnonzero(table.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(own, ROWS)), pa.array([*(table[k].tobytes() for k in own), np.array([more]).tobytes()], pa.binary())], ["row", "v"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: dict[int, np.ndarray] = {}
+        for b in batches:
+            for row, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                out[row] = out.get(row, 0.0) + np.frombuffer(v)
+        yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64()), pa.array([v.tobytes() for v in out.values()], pa.binary())], ["row", "v"])
+
+    sent = docs.select("t").mapInArrow(run, "row long, v binary")
+    sums = sent.repartition("row").mapInArrow(add, "row long, v binary").toArrow()  # as many rows as the model has, at most
+    out, more = np.zeros((ROWS, CLASSES)), 0.0
+    for row, v in zip(sums.column("row").to_pylist(), sums.column("v").to_pylist(), strict=True):
+        if row == ROWS:
+            more = float(np.frombuffer(v)[0])
+        else:
+            out[row] = np.frombuffer(v)
+    return out, more
+
+
+def train(docs: DataFrame, singles: Singles, rounds: int = ROUNDS) -> tuple[Model, list[float]]:
+    """The model, and its log-likelihood (of classes) before each round after the first."""
+    context = docs.sparkSession.sparkContext
+    shared = context.broadcast(singles)
 
+    def count(t: Tokens, pairs: np.ndarray, out: np.ndarray) -> float:
+        classes = t.classes(shared.value)
+        for row, table in zip(t.features(classes), (pairs, out, out), strict=True):
+            table += np.bincount(row * CLASSES + classes, minlength=table.size).reshape(table.shape)
+        return 0.0
 
-def train_scales(docs: DataFrame, model: Model) -> Model:
-    """Rounds of distributed gradient updates; each task sends one gradient with its curvature."""
-    context = docs.sparkSession.sparkContext
-    part = F.pmod(F.xxhash64("i", F.lit(9)), F.lit(ROUNDS))
-    k = len(model.scales)
-    for r in range(ROUNDS):
+    model, history = Model(summed(docs, count)[0]), []
+    for _ in range(rounds):
         book = context.broadcast(model)
 
-        def run(batches: Iterator[pa.RecordBatch], book=book) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(k + k * k)
-            for b in chunks(batches, "t"):
-                t = Tokens(*buffers(b.column(0)))
-                classes = t.classes(book.value.singles)
-                g, h = book.value.gradient(t.features(classes), classes)
-                total += np.concatenate((g, h.ravel()))
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], ["k", "v"])
-
-        sums = docs.where(part == r).select("t").mapInArrow(run, "k long, v double").groupBy("k").agg(F.sum("v").alias("v")).collect()  # k + k * k rows
-        total = np.zeros(k + k * k)
-        for row in sums:
-            total[row.k] = row.v
-        g, h = total[:k], total[k:].reshape(k, k)
-        # Scales of features that were hardly met stay where they are.
-        model.scales = np.clip(model.scales + np.clip(np.linalg.solve(h + np.eye(k) * (1.0 + 1e-4 * np.trace(h) / k), g), -0.4, 0.4), 0.0, 2.0)
-        model._logs()
-        book.unpersist()
-    return model
+        def expect(t: Tokens, pairs: np.ndarray, out: np.ndarray, book=book) -> float:
+            classes = t.classes(shared.value)
+            return book.value.expect(t.features(classes), classes, pairs, out)
+
+        expected, likelihood = summed(docs, expect)
+        history.append(likelihood)
+        model.update(expected)
+        book.destroy()
+    return model, history
 
 
 def frequent(words: DataFrame, most: int) -> DataFrame:
-    """(h, c) of the words in the upper bands of frequency, as many whole bands as have ``most`` words at most.
+    """(w, c) of the words in the upper bands of frequency, as many whole bands as have ``most`` words at most.
 
     Bands are eighths of a power of two, so a few hundred numbers find the border and nothing is sorted.
     """
@@ -242,75 +278,64 @@ def frequent(words: DataFrame, most: int) -> DataFrame:
         if left < 0:
             break
         border = row.b
-    return words.where(band >= border if border is not None else F.lit(False)).select("h", F.col("c").cast("long").alias("c"))
+    return words.where(band >= border if border is not None else F.lit(False)).select("w", F.col("c").cast("long").alias("c"))
 
 
-def lm_score(docs: DataFrame, held_out: Column, remainder: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score. ``remainder``: deals training documents into 7 parts."""
-    spark = docs.sparkSession
-    context = spark.sparkContext
-    rows = docs.select(F.col(id_col).alias("d"), F.col(id_col).cast("string").alias("i"), F.coalesce(held_out, F.lit(False)).alias("held"), F.coalesce(remainder, F.lit(0)).alias("r"), F.col(text_col).alias("t"))
+def lm_score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", known_words: int | None = None) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+    context = docs.sparkSession.sparkContext
+    rows = docs.select(F.col(id_col).alias("d"), F.coalesce(held_out, F.lit(False)).alias("held"), F.col(text_col).alias("t"))
     training = rows.where("not held")
     words = cut(vocabulary(training), "vocabulary")
     n, v = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    known = frequent(words, KNOWN).toArrow()
-    hashes, counts = np.asarray(known.column("h")).view(np.uint64), np.asarray(known.column("c"))
-    leading = hashes[np.lexsort((hashes.view(np.int64), -counts))][: SINGLE - 1]
-    singles = np.unique(np.append(leading[leading != END], END))
-    order = np.argsort(hashes)
-    hashes, counts = hashes[order], counts[order]
+    leading = words.orderBy(F.desc("c"), "w").limit(SINGLE).collect()
+    singles = Singles([bytes(r.w) for r in leading])
     # The classes of the others: all their tokens, their words, and one unknown word.
     mass = np.ones(TAIL)
-    for row in words.where(~F.col("h").isin(singles.view(np.int64).tolist())).groupBy("tail").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("w")).collect():  # a row for each class
-        mass[row.tail] = row.c + row.w + 1
-    cells = np.zeros(ROWS * CLASSES, np.int64)
-    seen = class_cells(training.where(F.col("r") != DEVELOPMENT), context.broadcast(singles)).toArrow()  # as many as the model has, at most
-    cells[np.asarray(seen.column("cell"))] = np.asarray(seen.column("n"))
-    model = train_scales(training.where(F.col("r") == DEVELOPMENT), Model(singles, cells))
-    book, table, log_mass = context.broadcast(model), context.broadcast((hashes, counts)), np.log10(mass)
-    schema = f"doc_id {dict(rows.dtypes)['d']}, i string, x long, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<struct<h:long,n:long>>"
+    for row in words.groupBy("tail").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("w")).collect():  # a row for each class
+        mass[row.tail] += row.c + row.w
+    for row in leading:
+        mass[row.tail] -= row.c + 1
+    model, _ = train(training, singles)
+    known = frequent(words, KNOWN if known_words is None else known_words).toArrow()
+    known = {bytes(r.w): r.c for r in leading} | dict(zip(known.column("w").to_pylist(), known.column("c").to_pylist(), strict=True))
+    spelt, counts = list(known), np.array([*known.values()], np.int64)
+    end = spelt.index(END) if END in spelt else -1
+    book, table, log_mass = context.broadcast((model, singles)), context.broadcast((Lexicon(spelt), counts)), np.log10(mass)
+    del known
+    names = ["doc_id", "row", "held_out", "n_tokens", "n_known", "base", "score", "rare"]
+    schema = f"doc_id {dict(rows.dtypes)['d']}, row long, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<struct<w:binary,n:long>>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own: Model = book.value
-        keys, values = table.value
+        kept("lm_score")
+        model, singles = book.value
+        lexicon, counts = table.value
         for b in chunks(batches, "t"):
-            t = Tokens(*buffers(b.column(3)))
-            classes = t.classes(own.singles)
+            t = Tokens(*buffers(b.column(2)))
+            classes = t.classes(singles)
             tail = classes >= SINGLE
-            log_class = own.log_class(t.features(classes), classes) / np.log(10)
-            if len(keys):
-                at = np.minimum(np.searchsorted(keys, t.hash), len(keys) - 1)
-                here = keys[at] == t.hash
-                plus = np.where(here, np.log10(values[at] + 1.0), 0.0)
-            else:
-                here, plus = np.zeros(len(t.hash), bool), np.zeros(len(t.hash))
+            log_class = model.log_class(t.features(classes), classes) / np.log(10)
+            number = t.numbers(lexicon, end)
+            here = (number >= 0)[t.kind]
+            plus = (np.where(number >= 0, np.log10(counts[number] + 1.0), 0.0) if len(counts) else np.zeros(len(number)))[t.kind]
             m = b.num_rows
             base = np.bincount(t.rows, plus, m)
             score = np.bincount(t.rows, log_class + np.where(tail, plus - log_mass[np.maximum(classes - SINGLE, 0)], 0.0), m)
             # The others' counts come by a join: (row, word) with repeats added up.
             lost = np.flatnonzero(~here)
-            by = lost[np.lexsort((t.hash[lost], t.rows[lost]))]
-            new = np.ones(len(by), bool)
-            new[1:] = (t.rows[by][1:] != t.rows[by][:-1]) | (t.hash[by][1:] != t.hash[by][:-1])
-            first = np.flatnonzero(new)
-            times = np.diff(np.append(first, len(by)))
-            per_row = np.bincount(t.rows[by[first]], minlength=m)
-            items = pa.StructArray.from_arrays([pa.array(t.hash[by[first]].view(np.int64)), pa.array(times)], ["h", "n"])
-            rare = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(per_row))), pa.int32()), items)
-            cells = [b.column(0), b.column(1), b.column(4), b.column(2), pa.array(t.sizes), pa.array(np.bincount(t.rows, here, m).astype(np.int64)), pa.array(base), pa.array(score), rare]
-            yield pa.RecordBatch.from_arrays(cells, ["doc_id", "i", "x", "held_out", "n_tokens", "n_known", "base", "score", "rare"])
-
-    scored = cut(rows.select("d", "i", "held", "t", F.xxhash64(F.coalesce("t", F.lit(""))).alias("x")).mapInArrow(run, schema), "scored")
-    if v > len(hashes):
-        wanted = scored.where(F.size("rare") > 0).select(F.coalesce("i", F.lit("")).alias("_i"), "x", F.explode("rare").alias("w")).select("_i", "x", F.col("w.h").alias("h"), F.col("w.n").alias("n"))
-        found = wanted.join(words.select("h", "c"), "h")
-        # Rows that repeat id and text find each word as often as they are repeated; a row's share is the mean.
-        copies = scored.groupBy(F.coalesce("i", F.lit("")).alias("_i"), "x").agg(F.count(F.lit(1)).alias("copies"))
-        sums = found.groupBy("_i", "x").agg(F.sum("n").alias("more"), F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("plus")).join(copies, ["_i", "x"]).select("_i", "x", (F.col("more") / F.col("copies")).cast("long").alias("more"), (F.col("plus") / F.col("copies")).alias("plus"))
-        scored = scored.withColumn("_i", F.coalesce("i", F.lit(""))).join(sums, ["_i", "x"], "left")
-    else:
-        scored = scored.withColumns({"more": F.lit(0).cast("long"), "plus": F.lit(0.0)})
-    more, plus = F.coalesce("more", F.lit(0)).cast("long"), F.coalesce("plus", F.lit(0.0))
+            pairs, times = np.unique(t.rows[lost] << 32 | t.kind[lost], return_counts=True)
+            items = pa.StructArray.from_arrays([t.column(pairs & 0xFFFFFFFF), pa.array(times)], ["w", "n"])
+            rare = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(np.bincount(pairs >> 32, minlength=m)))), pa.int32()), items)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(3), b.column(1), pa.array(t.sizes), pa.array(np.bincount(t.rows, here, m).astype(np.int64)), pa.array(base), pa.array(score), rare], names)
+
+    # The rows' numbers hold from here on, as they are written.
+    scored = cut(rows.select("d", "held", "t", F.monotonically_increasing_id().alias("row")).mapInArrow(run, schema), "scored")
+    more, plus = F.lit(0).cast("long"), F.lit(0.0)
+    if v > len(counts):
+        wanted = scored.select("row", F.explode("rare").alias("x")).select("row", "x.w", "x.n")
+        sums = wanted.join(words.select("w", "c"), "w").groupBy("row").agg(F.sum("n").alias("more"), F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("plus"))
+        scored = scored.drop("rare").join(sums, "row", "left")
+        more, plus = F.coalesce("more", F.lit(0)), F.coalesce("plus", F.lit(0.0))
     return scored.select(
         "doc_id",
         "held_out",

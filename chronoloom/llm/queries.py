@@ -20,7 +20,7 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_score.lm_score(documents(spark, sf_dir), held_out=id_crc() % 7 == 2, remainder=id_crc() % 7)
+    return lm_score.lm_score(documents(spark, sf_dir), held_out=id_crc() % 7 == 2)
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -502,9 +502,13 @@ def test_language_costs_are_code_lengths():
     assert np.allclose(tree.costs(asked), [cost(k) for k in asked.tolist()], atol=1e-4)
 
 
+def lm_tokens(text):
+    return [*(w.encode() for w in re.split(r"[\x20\x09-\x0D]+", (text or "").translate(LOWER)) if w), lm_score.END]
+
+
 def test_lm_score(spark, monkeypatch):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
-    tokens = {d: [*(w for w in re.split(r"[\x20\x09-\x0D]+", (t or "").translate(LOWER)) if w), "\n"] for d, t in docs}
+    tokens = {d: lm_tokens(t) for d, t in docs}
     counts = collections.Counter(w for d, own in tokens.items() if zlib.crc32(str(d).encode()) % 7 != 2 for w in own)
     n, v = sum(counts.values()), len(counts)
     first = None
@@ -521,21 +525,96 @@ def test_lm_score(spark, monkeypatch):
         first = got
 
 
-def test_lm_model_is_normalised(spark):
-    cells = np.random.default_rng(0).integers(0, 3, lm_score.ROWS * lm_score.CLASSES)
-    model = lm_score.Model(np.sort(np.array([lm_score.END], np.uint64)), cells)
-    features = np.stack([np.full(lm_score.CLASSES, o + 1) for o in lm_score.OFFSETS])
-    assert math.isclose(np.exp(model.log_class(features, np.arange(lm_score.CLASSES))).sum(), 1, rel_tol=1e-4)
-
-
-def test_lm_score_odd_rows(spark, monkeypatch):
-    monkeypatch.setattr(lm_score, "KNOWN", 3)
-    docs = frame(spark, [*ODD, "a tail of words", "a tail of words"], [*range(len(ODD)), 77, 77])
-    got = lm_score.lm_score(docs, id_crc() % 7 == 2, id_crc() % 7).collect()
-    assert len(got) == len(ODD) + 2 and all(r.n_tokens >= 1 and r.score < 0 and r.base_score < 0 for r in got)
+def plain_lm(texts, training, rounds):
+    """Scores and likelihoods by plain loops over dictionaries: the model as its definition has it."""
+    tokens = [lm_tokens(t) for t in texts]
+    counts = collections.Counter(w for own in (tokens[k] for k in training) for w in own)
+    singles = sorted(counts, key=lambda w: (-counts[w], w))[: lm_score.SINGLE]
+    hashed = lambda x, n: int((lm_score.mix(np.array([x], np.uint64)) % np.uint64(n))[0])
+
+    def tail(w):
+        if w == lm_score.END:
+            return 0
+        mark = w[-1] < 48 and len(w) > 1
+        w = w[:-1] if mark else w
+        return hashed(w[-1] | (w[-2] if len(w) > 1 else 0) << 8 | mark << 16, lm_score.TAIL)
+
+    class_of = lambda w: singles.index(w) if w in singles else lm_score.SINGLE + tail(w)
+    word_hash = lambda w: 0 if w in (None, lm_score.END) else int(hash_ranges(np.frombuffer(w, np.uint8), np.array([0]), np.array([len(w)]))[0] % np.uint64(lm_score.HASHED))
+    start, cells = lm_score.CLASSES, []
+    for own in tokens:
+        c = [class_of(w) for w in own]
+        back = lambda k, n, c=c: c[k - n] if k >= n else start
+        cells.append([(c[k], [(0, back(k, 1)), (1, hashed(back(k, 2) * (start + 1) + back(k, 1), lm_score.HASHED)), (2, back(k, 2)), (3, back(k, 3)), (4, word_hash(own[k - 1] if k else None))]) for k in range(len(own))])
+    seen = collections.Counter(c for k in training for c, _ in cells[k])
+    prior = [(seen[c] + 1) / (sum(seen.values()) + start) for c in range(start)]
+    observed = collections.Counter((f, c) for k in training for c, fs in cells[k] for f in fs)
+    total = collections.Counter(f for k in training for _, fs in cells[k] for f in fs)
+    weights = {}
+    step = lambda o, e, c: math.log((o + lm_score.PRIOR * prior[c]) / (e + lm_score.PRIOR * prior[c])) / 5
+    for f in total:
+        for c in range(start):
+            weights[f, c] = step(observed[f, c], total[f] * prior[c], c)
+
+    def distribution(fs):
+        raw = [math.log(prior[c]) + sum(weights.get((f, c), 0.0) for f in fs) for c in range(start)]
+        z = math.log(sum(map(math.exp, raw)))
+        return [x - z for x in raw]
+
+    history = []
+    for _ in range(rounds):
+        expected, likelihood = collections.Counter(), 0.0
+        for k in training:
+            for c, fs in cells[k]:
+                logs = distribution(fs)
+                likelihood += logs[c]
+                for f in fs:
+                    for x in range(start):
+                        expected[f, x] += math.exp(logs[x])
+        history.append(likelihood)
+        for f, c in weights:
+            weights[f, c] += step(observed[f, c], expected[f, c], c)
+    mass = collections.Counter()
+    for w, n in counts.items():
+        if w not in singles:
+            mass[tail(w)] += n + 1
+    scores = []
+    for own, cell in zip(tokens, cells, strict=True):
+        s = sum(distribution(fs)[c] / math.log(10) for c, fs in cell)
+        scores.append(s + sum(math.log10((counts[w] + 1) / (mass[tail(w)] + 1)) for w in own if w not in singles))
+    return scores, history
+
+
+def test_lm_score_is_the_model(spark):
+    rng = random.Random(9)
+    vocabulary = ["".join(rng.choice("abcde") for _ in range(rng.randint(1, 4))) + rng.choice(["", "", "."]) for _ in range(60)]
+    texts = [" ".join(rng.choices(vocabulary, range(60, 0, -1), k=rng.randint(0, 15))) for _ in range(24)] + [None, "zzz never SEEN"]
+    training = [k for k in range(len(texts)) if zlib.crc32(str(k).encode()) % 7 != 2]
+    want, history = plain_lm(texts, training, lm_score.ROUNDS)
+    got = {r.doc_id: r.score for r in lm_score.lm_score(frame(spark, texts), id_crc() % 7 == 2, known_words=20).collect()}
+    assert all(math.isclose(got[k], want[k], rel_tol=1e-4) for k in got) and len(got) == len(texts)
+    rows = frame(spark, [texts[k] for k in training]).select(F.col("text").alias("t"))
+    words = sorted(lm_score.vocabulary(rows).collect(), key=lambda r: (-r.c, r.w))
+    _, rises = lm_score.train(rows, lm_score.Singles([bytes(r.w) for r in words[: lm_score.SINGLE]]), 4)
+    assert np.allclose(rises[: lm_score.ROUNDS], history, rtol=1e-4) and all(a < b for a, b in zip(rises, rises[1:], strict=False))
+
+
+def test_lm_tells_words_apart_by_bytes(spark):
+    one, other = thue_morse()
+    got = lm_score.lm_score(frame(spark, [f"{one} {other} {one}", other, one]), F.lit(False)).collect()
+    assert {(r.n_tokens, r.n_known, r.train_tokens) for r in got} == {(4, 4, 8), (2, 2, 8)}
+    text = next(r for r in got if r.n_tokens == 4)
+    assert math.isclose(text.base_score, sum(math.log10((c + 1) / (8 + 3 + 1)) for c in (3, 2, 3, 3)))
+
+
+def test_lm_score_odd_rows(spark):
+    docs = frame(spark, [*ODD, "a tail of words", "a tail of words", None], [*range(len(ODD)), 77, 77, None])
+    got = lm_score.lm_score(docs, id_crc() % 7 == 2, known_words=3).collect()
+    assert len(got) == len(ODD) + 3 and all(r.n_tokens >= 1 and r.score < 0 and r.base_score < 0 for r in got)
     twins = [(r.n_known, r.score) for r in got if r.doc_id == 77]
     assert twins[0] == twins[1]
-    assert lm_score.lm_score(empty(spark), id_crc() % 7 == 2, id_crc() % 7).count() == 0
+    assert {r.score for r in lm_score.lm_score(docs, F.lit(True)).collect() if r.n_tokens == 1} != set()
+    assert lm_score.lm_score(empty(spark), id_crc() % 7 == 2).count() == 0
 
 
 def test_pipeline_stages(spark):
