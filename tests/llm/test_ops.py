@@ -464,6 +464,95 @@ def test_toxicity(spark):
     assert toxicity.toxicity(empty(spark), labels).count() == 0
 
 
+def plain_kneser_ney(classes, text):
+    """The ratios of a text's words from two lists of texts, by dictionaries: the model as its definition has it."""
+    split = lambda t: [None, *re.findall(r"[a-z0-9]+", t)]
+    path = lambda w: [w[:n] for n in toxicity.PREFIXES] + [w]
+    pairs = [collections.Counter(p for t in own for p in zip(split(t), split(t)[1:], strict=False)) for own in classes]
+
+    def discounts(counts):
+        n = collections.Counter(counts)
+        out = [0, 0.5, 1.0, 1.5]
+        if n[1] and n[2]:
+            y = n[1] / (n[1] + 2 * n[2])
+            for k in (1, 2, 3):
+                if n[k] and n[k + 1]:
+                    out[k] = min(max(k - (k + 1) * y * n[k + 1] / n[k], 0.1 * k), k)
+        return lambda x: out[min(x, 3)]
+
+    words = {w for own in pairs for _, w in own}
+    seen, logs, left, total = [], [], [], []
+    for k in range(len(toxicity.PREFIXES) + 1):
+        met = [collections.defaultdict(set) for _ in classes]
+        over = {path(w)[k]: path(w)[k - 1] if k else "" for w in words}
+        for own, m in zip(pairs, met, strict=True):
+            for u, w in own:
+                m[path(w)[k]].add(u)
+        n = [{x: len(m[x]) for x in over} for m in met]
+        up = [collections.Counter() for _ in classes]
+        off = [collections.Counter() for _ in classes]
+        for c in (0, 1):
+            d = discounts([x for x in n[c].values() if x])
+            for x, p in over.items():
+                up[c][p] += n[c][x]
+                off[c][p] += d(n[c][x])
+        rest = [{p: min(max(off[c][p] / up[c][p], 1e-3), 1) if up[c][p] else 1.0 for p in over.values()} for c in (0, 1)]
+        both = {p: up[0][p] + up[1][p] for p in over.values()}
+        own = []
+        for c in (0, 1):
+            d = discounts([x for x in n[c].values() if x])
+            own.append({x: math.log((n[c][x] - d(n[c][x])) / max(up[c][p], 1) + rest[c][p] * (n[0][x] + n[1][x]) / both[p]) for x, p in over.items()})
+        seen.append({x: n[0][x] + n[1][x] for x in over})
+        logs.append(own)
+        left.append(rest)
+        total.append(both)
+
+    def alone(w):
+        out, parent = 0.0, ""
+        for k, x in enumerate(path(w)):
+            if seen[k].get(x, 0) < toxicity.STEP_LEAST:
+                return out + (math.log(left[k][1][parent] / left[k][0][parent]) if total[k].get(parent, 0) >= toxicity.STEP_LEAST else 0.0)
+            out += logs[k][1][x] - logs[k][0][x]
+            parent = x
+        return out
+
+    sizes = [collections.Counter() for _ in classes]
+    taken = [collections.Counter() for _ in classes]
+    cuts = [discounts(own.values()) for own in pairs]
+    for c, own in enumerate(pairs):
+        for (u, _), n in own.items():
+            sizes[c][u] += n
+            taken[c][u] += cuts[c](n)
+    rest = lambda c, u: min(max(taken[c][u] / sizes[c][u], 1e-3), 1) if sizes[c][u] else 1.0
+
+    def log(c, u, w):
+        n = pairs[c][u, w]
+        return math.log((n - cuts[c](n)) / max(sizes[c][u], 1) + rest(c, u) * math.exp(sum(logs[k][c][x] for k, x in enumerate(path(w)))))
+
+    out = []
+    for u, w in zip(split(text), split(text)[1:], strict=False):
+        if pairs[0][u, w] + pairs[1][u, w] >= toxicity.LEAST:
+            out.append(log(1, u, w) - log(0, u, w))
+        else:
+            out.append(alone(w) + (math.log(rest(1, u) / rest(0, u)) if sizes[0][u] + sizes[1][u] >= toxicity.LEAST else 0.0))
+    return out
+
+
+def test_toxicity_likelihoods_are_kneser_ney(monkeypatch):
+    monkeypatch.setattr(toxicity, "LEAST", 3)
+    rng = random.Random(2)
+    word = lambda: rng.choice(["ab", "abcd", "abcde", "abcxyzuvwabcd", "abcxyzuvwabce", "q", "rst", "rstu", "mno", "mnopq"])
+    classes = [[" ".join(word() for _ in range(rng.randint(1, 30))) for _ in range(20 + 10 * c)] for c in (0, 1)]
+    classes[1] = [t + " vile rst" for t in classes[1]]
+    model = toxicity.KneserNey([[(toxicity.paths(w), toxicity.before(w, w.hashes())) for w in [Words(*buffers(pa.array(own)), ALNUM)]] for own in classes])
+    for text in ("vile rst vile abcd new words abcq rstu", classes[0][0], classes[1][3], "q"):
+        got = model.each(Words(*buffers(pa.array([text])), ALNUM))
+        want = plain_kneser_ney(classes, text)
+        assert np.allclose(got, want, atol=1e-9), text
+        x = model.features(Words(*buffers(pa.array([text, ""])), ALNUM))
+        assert math.isclose(x[0, 0], sum(want) / len(want), abs_tol=1e-9) and not x[1].any()
+
+
 def test_language(spark):
     got = queries.op5_language_id(spark, SF).collect()
     lang = {r.doc_id: r.lang for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
