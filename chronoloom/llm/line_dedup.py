@@ -16,7 +16,8 @@ lengths are looked at, and doubling stops at the longest of them.
 Lines compare after white space is trimmed and its runs become one blank, by 128 bits of hash. Nulls: a null text is
 an empty one; rows with a null id come first. Rows that agree in id and text are one document, and each takes its
 deletions. Empty texts and lines have no words and repeat freely. Ties cannot occur, as places are unique.
-An empty table gives an empty result. Other columns pass through, whatever their names.
+A very long text's lines are a row each, wherever they are
+compared. An empty table gives an empty result. Other columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, cut, kept
+from .common import chunks, cut, fresh, kept, uncut, whole_id
 
 MIN_WORDS = 10
 _PLACE = ["_d", "_t", "_n"]
@@ -70,7 +71,7 @@ def lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", t
             for at in range(0, len(words), 1 << 16):
                 yield pa.RecordBatch.from_arrays([c.slice(at, 1 << 16) for c in cells], [*_PLACE, "_h1", "_h2", "_span", "_back"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("_d"), _text_key(text_col).alias("_t"), F.col(text_col).alias("text"))
+    rows = docs.select(whole_id(docs, id_col).alias("_d"), _text_key(text_col).alias("_t"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, "_d long, _t long, _n long, _h1 long, _h2 long, _span long, _back long").withColumn("_d", F.coalesce("_d", F.lit(-(1 << 63)).cast("long")))
 
 
@@ -80,7 +81,9 @@ def _ranked(rows: DataFrame, keys: list[str]) -> DataFrame:
     ordered = repeated.repartitionByRange(*keys).sortWithinPartitions(*keys)
     # Partition number and place in it: as good as a place in the whole. Written at once, since sampled ranges may not come out alike twice.
     table = cut(ordered.withColumn("_rank", F.monotonically_increasing_id()), "ranks")
-    return cut(rows.join(table, keys).drop(*keys), "suffixes")
+    out = cut(rows.join(table, keys).drop(*keys), "suffixes")
+    uncut(table)
+    return out
 
 
 def doubled(ranks: DataFrame, depth: int) -> DataFrame:
@@ -113,11 +116,13 @@ def later_copies(all_lines: DataFrame) -> DataFrame:
 
 
 def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the remaining lines as text, and with n_lines and n_deleted (lines before, and deleted) added."""
+    """``docs`` with the remaining lines as text, and two last columns n_lines and n_deleted (lines before, and deleted).
+
+    Where there are columns of these names, the added ones have underscores behind theirs.
+    """
     all_lines = cut(lines(docs, min_words, id_col, text_col), "lines")
-    covered = later_copies(all_lines).select("_d", "_t", F.explode(F.sequence("_n", F.col("_n") + F.col("_span") - 1)).alias("_n")).distinct()
-    # A document's deleted lines are no more than its lines.
-    gone = covered.groupBy("_d", "_t").agg(F.array_sort(F.collect_list("_n")).alias("_gone"))
+    # A document has two runs for each of its lines at most; what they cover is marked where it is rebuilt.
+    gone = later_copies(all_lines).groupBy("_d", "_t").agg(F.collect_list(F.struct("_n", "_span")).alias("_gone"))
     # The columns go by number meanwhile, so that none clashes with those added here.
     names = docs.columns
     text_at, numbered = names.index(text_col), [f"c{k}" for k in range(len(names))]
@@ -131,16 +136,21 @@ def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_i
             for text, lost in zip(b.column(text_at).to_pylist(), b.column(len(names)).to_pylist(), strict=True):
                 own = (text or "").split("\n")
                 n_lines.append(len(own))
-                n_gone.append(len(lost or ()))
+                n_gone.append(0)
                 if lost:
-                    drop = set(lost)
-                    own = [x for k, x in enumerate(own) if k not in drop]
+                    edge = np.zeros(len(own) + 1, np.int64)
+                    np.add.at(edge, [r["_n"] for r in lost], 1)
+                    np.add.at(edge, [r["_n"] + r["_span"] for r in lost], -1)
+                    drop = np.cumsum(edge[:-1]) > 0
+                    n_gone[-1] = int(drop.sum())
+                    own = [x for x, d in zip(own, drop.tolist(), strict=True) if not d]
                 texts.append("\n".join(own))
             cells = b.columns[:-1]
             cells[text_at] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays([*cells, pa.array(n_lines, pa.int64()), pa.array(n_gone, pa.int64())], [*names, "n_lines", "n_deleted"])
+            yield pa.RecordBatch.from_arrays([*cells, pa.array(n_lines, pa.int64()), pa.array(n_gone, pa.int64())], [*names, *added])
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_deleted", T.LongType())])
+    added = [fresh("n_lines", names), fresh("n_deleted", names)]
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(c, T.LongType()) for c in added)])
     return joined.mapInArrow(rebuild, schema)
 
 
