@@ -15,7 +15,8 @@ without a piece become byte pieces if the model has these, else the unknown id.
 together and takes off the blank that encoding puts in front.
 
 Nulls: a null or empty text has no ids. U+2581 is the model's sign for a blank and comes back as one; all other
-texts come back byte for byte. Repeated rows and empty tables need no care.
+texts come back byte for byte. Repeated rows and empty tables need no care. Long stretches without white space, and runs of
+blanks, take time in proportion to their length. Other columns than the named ones are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ BLANK = "▁"
 REMEMBERED = 300_000
 #: Bytes of text that are encoded at a time; less than elsewhere, as pieces and their bytes take more room than text.
 AT_ONCE = 1 << 20
-#: Stretches up to this many characters are encoded together; longer ones one by one.
+#: Stretches up to this many characters are encoded together, in step; longer ones one by one.
 TOGETHER = 48
 _AS_IS = np.arange(256, dtype=np.uint8)
 _NEVER = np.int64(1) << 60
@@ -160,6 +161,8 @@ class Encoder(Remembered):
         self.byte_size = np.array([len(x) for x in spelt])
         self.byte_at = np.cumsum(self.byte_size) - self.byte_size
         self.byte_pool = np.frombuffer(b"".join(spelt), np.uint8)
+        self.scores = pieces.scores.tolist()
+        self.pairs_apart: dict[tuple[int, int], bool] = {}
 
     def fresh(self, words: list[bytes]) -> list[list[int]]:
         texts = [w.decode().replace(" ", BLANK) for w in words]
@@ -172,30 +175,72 @@ class Encoder(Remembered):
                 out[k] = self._blanks(blanks, t[blanks:])
             else:
                 batch.append(k)
-        for some in ([k for k in batch if len(texts[k]) <= TOGETHER], *([k] for k in batch if len(texts[k]) > TOGETHER)):
-            for k, ids in zip(some, self._viterbi([texts[k] for k in some]), strict=True):
-                out[k] = ids
+        short = [k for k in batch if len(texts[k]) <= TOGETHER]
+        for k, ids in zip(short, self._viterbi([texts[k] for k in short]), strict=True):
+            out[k] = ids
+        for k in batch:
+            if len(texts[k]) > TOGETHER:
+                out[k] = self._single(texts[k])
         return out
 
+    def _single(self, text: str) -> list[int]:
+        """One long text, piece by piece as the automaton finds them; what two pieces make of each other is remembered."""
+        pieces, n = self.pieces, len(text)
+        last, best = [_NEVER] * (n + 1), [-np.inf] * (n + 1)
+        best[0] = 0.0
+        unknown, scores, bpe, known = float(pieces.scores.min() - 10), self.scores, pieces.bpe, self.pairs_apart
+        if len(known) > 2_000_000:
+            known.clear()
+        found = self.automaton.iter(text)
+        match = next(found, None)
+        for p in range(n):
+            own = []
+            while match is not None and match[0] == p:
+                own.append((match[1] >> 16, match[1] & 0xFFFF))
+                match = next(found, None)
+            if not any(length == 1 for _, length in own):
+                own.append((-1 - ord(text[p]), 1))
+            for k, length in own:
+                start = p + 1 - length
+                if best[start] == -np.inf:
+                    continue
+                score = 0.0
+                if not bpe:
+                    score = best[start] + (scores[k] if k >= 0 else unknown)
+                elif start and k >= 0 and (a := last[start]) >= 0:
+                    if (good := known.get((a, k))) is None:
+                        good = known[a, k] = bool(pieces.apart(np.array([a]), np.array([k]))[0])
+                    if not good:
+                        continue
+                if score >= best[p + 1]:
+                    last[p + 1], best[p + 1] = k, score
+        out: list[int] = []
+        while n:
+            k = last[n]
+            out += [k] if k >= 0 else reversed(pieces.spelt(chr(-1 - k)))
+            n -= int(self.widths[k]) if k >= 0 else 1
+        return out[::-1]
+
     def _blanks(self, n: int, rest: str) -> list[int]:
         if n + len(rest) <= 64:
             return self.pieces.merge(BLANK * n + rest)
         # The last blank joins the word if it joins it alone; the blanks before are merged by themselves.
-        tail = self._viterbi([BLANK + rest])[0] if rest else []
+        tail = self._single(BLANK + rest) if rest else []
         alone = not rest or self.pieces.names[tail[0]] == BLANK
         return self.merge_long(n if alone else n - 1) + (tail[1:] if alone and rest else tail)
 
     def merge_long(self, n: int) -> list[int]:
-        """A run of blanks: in each pass, equal-ranked pairs are merged from left to right."""
-        number = self.pieces.number
-        symbols = [1] * n
-        while True:
-            for i in range(len(symbols) - 1):
-                if BLANK * (symbols[i] + symbols[i + 1]) in number:
-                    symbols[i : i + 2] = [symbols[i] + symbols[i + 1]]
-                    break
-            else:
-                return [number[BLANK * s] for s in symbols]
+        """A run of blanks. All pieces of blanks have one rank, so the leftmost pair that makes a piece is merged first.
+
+        Left of the next blank nothing is left to merge, so only the last two symbols need be looked at: one pass.
+        """
+        number, symbols = self.pieces.number, []
+        joins = {(a, b) for a in range(1, 65) for b in range(1, 65) if BLANK * (a + b) in number}
+        for _ in range(n):
+            symbols.append(1)
+            while len(symbols) > 1 and (symbols[-2], symbols[-1]) in joins:
+                symbols[-2:] = [symbols[-2] + symbols[-1]]
+        return [number[BLANK * s] for s in symbols]
 
     def _viterbi(self, texts: list[str]) -> list[list[int]]:
         """All texts in step: position after position, each over the pieces that end there."""
