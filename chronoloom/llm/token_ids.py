@@ -1,7 +1,8 @@
 """Token ids in binary shards, compressed by a Re-Pair grammar with random access.
 
-Documents are dealt into shards by ranges of their id, so shard after shard holds them in ascending order.
-A shard is a run of blocks; a block holds whole documents and stands alone, little-endian:
+Documents are dealt into files by ranges of their id, so file after file holds them in ascending order. A file is a run
+of blocks, the shards of the grammar: a block holds whole documents of about ``BLOCK_BYTES`` of text, so that a worker's memory
+is bounded, and stands alone, little-endian:
 
     8 bytes   magic ``RPGRAM1\\n``
     4 int64   documents, rules, symbols, first id that is a rule
@@ -17,10 +18,11 @@ to the shared folder, so a lost executor's blocks are written anew.
 
 Texts are encoded by the tokenizers library, one distinct word after the other: this vocabulary drops white
 space, and words between ASCII white space (or between an ASCII letter and ASCII punctuation) do not touch
-each other's ids. Words that were seen before come from a bounded table.
+each other's ids. Words that were seen before come from a bounded table, by their bytes.
 
 Nulls: a null or empty text is the end id alone. Rows with a null id come first, with a null id; rows that
-repeat an id are all kept, next to each other. An empty table gives an empty result.
+repeat an id are all kept, next to each other. A very long text is a block of its own. An id that is not a whole number
+is an error. Other columns are not read, whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -35,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANK, BLANK_AS_IS, Remembered, Words, buffers, chunks, kept, shared_path
+from .common import BLANK, BLANK_AS_IS, Remembered, Words, buffers, chunks, kept, shared_path, whole_id
 
 MAGIC = b"RPGRAM1\n"
 END = 2
@@ -43,8 +45,8 @@ END = 2
 BLOCK_BYTES = 4 << 20
 #: Words that a worker remembers; the table starts anew when it is full.
 REMEMBERED = 1_200_000
-#: Rounds of replacement, pairs replaced in one round, and the least count of a pair that is worth a rule.
-ROUNDS, PAIRS, LEAST = 6, 2048, 4
+#: A rule takes 16 bytes (two symbols and a length) and saves four wherever it is used: from so many uses on it pays.
+LEAST = 5
 
 
 class Encoder(Remembered):
@@ -85,60 +87,72 @@ def encoder(path: str) -> Encoder:
 def compress(ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
     """(symbols, ends of documents in symbols, rules, expansion lengths, first rule).
 
-    In each round all pairs are counted and the most frequent ones replaced from left to right. Pairs of
-    one round do not build on each other; those of the next build on all before.
+    Rounds go on until no pair of neighbours occurs ``LEAST`` times, as rarer pairs do not pay for a rule. A round counts
+    all pairs (of a run of one symbol every other one) and replaces each occurrence that is more frequent than both
+    pairs it overlaps; of equally frequent ones the greater pair of symbols counts as more. So the most frequent pair is
+    replaced wherever it is, along with all others that it does not touch.
     """
-    seq = ids.astype(np.int32)
-    doc_end = ends.astype(np.int64)
-    base = int(seq.max(initial=-1)) + 1
+    seq, doc_end = ids.astype(np.int64), ends.astype(np.int64)
+    base = top = int(seq.max(initial=-1)) + 1
     rules: list[np.ndarray] = []
-    lengths = [np.ones(base, np.int64)]
-    top = base
-    for _ in range(ROUNDS):
-        if len(seq) < 2:
-            break
-        keys = (seq[:-1].astype(np.int64) << 32) | seq[1:]
-        keys[doc_end[(doc_end > 0) & (doc_end < len(seq))] - 1] = -1
-        ordered = np.sort(keys)
+    lengths = np.ones(base, np.int64)
+    last = np.zeros(len(seq), bool)  # of a document; no pair begins there
+    last[doc_end[doc_end > 0] - 1] = True
+    live = np.flatnonzero(~last)  # a pair that was too rare stays so, and is not looked at again
+    while len(live):
+        keys = (seq[live] << 32) | seq[live + 1]
+        counted = keys
+        same = np.flatnonzero((keys[1:] == keys[:-1]) & (live[1:] == live[:-1] + 1)) + 1  # only runs of one symbol repeat a pair at once
+        if len(same):
+            first = np.concatenate(([True], same[1:] != same[:-1] + 1))
+            begin = same[first][np.cumsum(first) - 1]
+            counted = keys.copy()
+            counted[same[(same - begin) % 2 == 0]] = -1
+        ordered = np.sort(counted)
         new = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
         counts = np.diff(np.append(new, len(ordered)))
-        good = np.flatnonzero((counts >= LEAST) & (ordered[new] >= 0))
-        if not len(good):
+        good = (counts >= LEAST) & (ordered[new] >= 0)
+        if not good.any():
             break
-        if len(good) > PAIRS:
-            good = good[np.argpartition(counts[good], len(good) - PAIRS)[-PAIRS:]]
-        chosen = np.sort(ordered[new[good]])
-        spots = (chosen * np.int64(-7046029254386353131)) >> 44 & 0xFFFFF
+        chosen, counts = ordered[new[good]], counts[good]
+        rank = np.empty(len(chosen), np.int64)
+        rank[np.argsort(counts, kind="stable")] = np.arange(1, len(chosen) + 1)
         seen = np.zeros(1 << 20, bool)
-        seen[spots] = True
-        at = np.flatnonzero(seen[(keys * np.int64(-7046029254386353131)) >> 44 & 0xFFFFF])
-        rule = np.minimum(np.searchsorted(chosen, keys[at]), len(chosen) - 1)
-        hit = chosen[rule] == keys[at]
-        at, rule = at[hit], rule[hit]
-        run = np.concatenate(([True], at[1:] != at[:-1] + 1))  # of overlapping pairs, every other one
-        begin = at[run][np.cumsum(run) - 1]
-        keep = (at - begin) % 2 == 0
+        seen[(chosen * np.int64(-7046029254386353131)) >> 44 & 0xFFFFF] = True
+        own = np.flatnonzero(seen[(keys * np.int64(-7046029254386353131)) >> 44 & 0xFFFFF])
+        rule = np.minimum(np.searchsorted(chosen, keys[own]), len(chosen) - 1)
+        hit = chosen[rule] == keys[own]
+        own, rule = own[hit], rule[hit]
+        rest = live[own]  # still frequent, if not replaced now
+        hit = counted[own] >= 0
+        at, rule = rest[hit], rule[hit]
+        weight = np.zeros(len(seq) + 2, np.int32)  # of the pair at each place, with one place before and behind
+        weight[at + 1] = rank[rule]
+        keep = (weight[at + 1] > weight[at]) & (weight[at + 1] > weight[at + 2])
         at, rule = at[keep], rule[keep]
-        used = np.bincount(rule, minlength=len(chosen)) >= 2
+        used = np.bincount(rule, minlength=len(chosen)) >= LEAST
         keep = used[rule]
         at, rule = at[keep], rule[keep]
-        if not len(at):
-            break
-        own = chosen[used]
-        number = np.cumsum(used) - 1
-        rules.append(np.stack((own >> 32, own & 0xFFFFFFFF), axis=1).astype(np.int32))
-        size = np.concatenate(lengths)
-        lengths.append(size[rules[-1][:, 0]] + size[rules[-1][:, 1]])
-        seq[at] = top + number[rule]
-        gone = np.zeros(len(seq) + 1, np.int64)
-        gone[at + 2] = 1  # so that gone[k] counts the symbols removed before k
-        doc_end = doc_end - np.cumsum(gone)[doc_end]
+        pair = chosen[used]
+        rules.append(np.stack((pair >> 32, pair & 0xFFFFFFFF), axis=1).astype(np.int32))
+        lengths = np.concatenate((lengths, lengths[rules[-1][:, 0]] + lengths[rules[-1][:, 1]]))
+        seq[at] = top + (np.cumsum(used) - 1)[rule]
+        last[at] |= last[at + 1]
         stay = np.ones(len(seq), bool)
         stay[at + 1] = False
-        seq = seq[stay]
-        top += len(own)
+        place = np.cumsum(stay) - 1  # of what stays, in what is left
+        look = np.zeros(len(seq) + 1, bool)
+        look[rest] = True
+        look[at] = look[at - 1] = True  # place -1 is the spare one
+        before = at - 1
+        gone = before[(before >= 0) & ~stay[before]]
+        look[gone - 1] = True  # where the symbol before has just been merged itself
+        live = place[np.flatnonzero(look[:-1] & stay & ~last)]
+        doc_end = np.where(doc_end > 0, place[doc_end - 1] + 1, 0)
+        seq, last = seq[stay], last[stay]
+        top += len(pair)
     table = np.concatenate(rules) if rules else np.zeros((0, 2), np.int32)
-    return seq, doc_end, table, np.concatenate(lengths)[base:], base
+    return seq, doc_end, table, lengths[base:], base
 
 
 def expand(seq: np.ndarray, table: np.ndarray, base: int) -> np.ndarray:
@@ -219,7 +233,7 @@ def write_shards(docs: DataFrame, tokenizer: str, path: str, id_col: str = "doc_
             base += len(out)
 
     shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).alias("t"))
+    rows = docs.select(whole_id(docs, id_col).alias("d"), F.col(text_col).alias("t"))
     dealt = rows.repartitionByRange(shards, F.col("d").asc_nulls_first(), F.xxhash64("t")).sortWithinPartitions(F.col("d").asc_nulls_first())
     dealt.mapInArrow(run, "shard int, base long, n_ids long, block binary").write.option("compression", "zstd").parquet(path)
 
