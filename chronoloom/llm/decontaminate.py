@@ -303,7 +303,7 @@ def flagged(docs: DataFrame, benchmark: DataFrame, size: int = 10, text_col: str
     ``contaminated``, with underscores behind it if there is such a column. Of a larger benchmark the parts follow one another,
     each over the table that the one before has written.
     """
-    at, name = docs.columns.index(text_col), fresh("contaminated", docs.columns)
+    n, at, name = len(docs.columns), docs.columns.index(text_col), fresh("contaminated", docs.columns)
     schema = T.StructType([*docs.schema.fields, T.StructField(name, T.BooleanType())])
 
     def marked(rows: DataFrame, book) -> DataFrame:
@@ -313,9 +313,9 @@ def flagged(docs: DataFrame, benchmark: DataFrame, size: int = 10, text_col: str
                 words = Words(*buffers(b.column(at)), ALNUM)
                 dirty = np.zeros(b.num_rows, bool)
                 dirty[[d for d, x in look(book.value, Index.of(words).keys(book.value.lexicon), words.per_row, 0).items() if x[2]]] = True
-                if b.num_columns > len(docs.columns):
-                    dirty |= np.asarray(b.column(len(docs.columns)))
-                yield pa.RecordBatch.from_arrays([*b.columns[: len(docs.columns)], pa.array(dirty)], schema.names)
+                if b.num_columns > n:
+                    dirty |= np.asarray(b.column(n))
+                yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(dirty)], schema.names)
 
         return rows.mapInArrow(run, schema)
 

@@ -3,7 +3,8 @@
 Nulls: a null text counts as empty; a row with null id counts in its group but is the kept row only where
 no row of the group has an id (then all such rows are kept, as nothing else would hold the text). Empty
 texts form one group. Rows repeated with the same id and text are all flagged like that id. An empty table
-gives an empty result. Other columns of the input are not read; the id and text columns are parameters.
+gives an empty result. A very long text is a value like any other. Other columns of the input are not read, whatever their
+names; the id and text columns are parameters.
 """
 
 from __future__ import annotations

@@ -5,12 +5,13 @@ length that PPM's method C gives: in the longest known context -log2(c / (n + d)
 -log2(d / (n + d)), and on to the next shorter one; at the end every byte costs eight bits. The language in
 which a text is shortest is predicted. Sums run over all bytes of the text, ASCII letters folded.
 
-Trees come from a bounded sample of labelled rows: per language about ``SAMPLE_DOCS`` documents or
-``SAMPLE_BYTES`` bytes are expected, whichever is less. Prediction reads every text whole.
+Trees come from a bounded sample of labelled rows: of each language the first documents in the order of a hash of id and
+text, whole, as long as they are ``SAMPLE_DOCS`` and ``SAMPLE_BYTES`` at most, one at least. Prediction reads every text whole.
 
 Nulls and ties: a text that is null or has no letter is ``und`` with score 0; equal code lengths go to the
 first language by name. Rows with a null lang are not learnt from. Without any labelled row all are ``und``.
-An empty table gives an empty result.
+Rows with a null id are dealt by their text. A very long text is worked on part by part. Other columns than the named ones
+are not read, whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import CHUNK_BYTES, buffers, chunks
@@ -140,12 +141,18 @@ def has_letter(texts: pa.Array, data: np.ndarray, offsets: np.ndarray) -> np.nda
 def trees(docs: DataFrame, learn: Column, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> dict[str, np.ndarray]:
     """Per language the distinct byte runs of its sample with their counts."""
     spark = docs.sparkSession
-    rows = docs.where(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("string").alias("i"), F.col(lang_col).alias("l"), F.col(text_col).alias("t"))
-    sizes = rows.groupBy("l").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("t")).alias("b")).collect()  # a row for each language
+    rows = docs.where(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.xxhash64(F.col(id_col).cast("string"), text_col).alias("h"), F.col(lang_col).alias("l"), F.col(text_col).alias("t"), F.octet_length(text_col).alias("b"))
+    sizes = rows.groupBy("l").agg(F.count(F.lit(1)).alias("n"), F.min("h").alias("first")).collect()  # a row for each language
     if not sizes:
         return {}
-    shares = spark.createDataFrame([(r.l, min(1.0, SAMPLE_DOCS / r.n, SAMPLE_BYTES / max(1, r.b))) for r in sizes], "l string, share double")
-    chosen = rows.join(F.broadcast(shares), "l").where(F.pmod(F.xxhash64("i", F.lit(5)), F.lit(1_000_000)) < F.col("share") * 1_000_000).select("l", "t")
+    # Some twice as many documents as are wanted, by the hash alone; the first by hash is always among them.
+    span = F.col("h").cast("double") + 2.0**63
+    borders = spark.createDataFrame([(r.l, r.first, 2.0**64 * min(1.0, 2 * SAMPLE_DOCS / r.n)) for r in sizes], "l string, first long, border double")
+    some = rows.join(F.broadcast(borders), "l").where((span < F.col("border")) | (F.col("h") == F.col("first")))
+    order = Window.partitionBy("l").orderBy("h", "t")
+    upto = F.sum("b").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    ranked = some.select("l", "h", "b", "t").withColumns({"place": F.row_number().over(order), "upto": upto})
+    chosen = ranked.where((F.col("place") == 1) | ((F.col("place") <= SAMPLE_DOCS) & (F.col("upto") <= SAMPLE_BYTES))).select("l", "t")
 
     def count(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         found, n = np.zeros(0, np.int64), np.zeros(0, np.int64)

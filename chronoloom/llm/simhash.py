@@ -12,7 +12,8 @@ one is equal and one differs in at most one bit, and the equal segment with a ke
 bits or more). Both kinds of key are joined, and every candidate is verified on its bits, so links are exact.
 
 Nulls: null and empty texts have fingerprint zero and link like any other. A null id never names a component
-unless all its documents lack one. An empty table gives an empty result. Only the id and text columns are read.
+unless all its documents lack one; an id that is not a whole number is an error. A very long text is hashed whole. An empty
+table gives an empty result. Only the id and text columns are read, whatever the others' names.
 """
 
 from __future__ import annotations

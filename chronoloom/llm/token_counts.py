@@ -12,7 +12,8 @@ before the edit has all that it looked at before the edit: a match looks one cha
 Nulls and bounds: a null text is empty and takes edits like one. Edits with a null field, or with a place behind
 the end, are cut to the text; a negative or reversed range is empty at its start. Edits of a document apply in
 order of ``seq`` to what the earlier ones left; ties go by start, end and replacement. Edits of unknown
-documents are left out. Rows that repeat an id each take that id's edits. Empty tables give empty results.
+documents are left out. Rows that repeat an id each take that id's edits. A very long text is kept whole, in blocks. Other
+columns than the named ones are not read, whatever their names. Empty tables give empty results.
 """
 
 from __future__ import annotations

@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -367,6 +368,89 @@ def test_grammar_round_trip_and_access():
         token_ids.Block(b"something else that is long enough to have a header")
 
 
+def test_grammar_stops_where_no_rule_pays():
+    rng = np.random.default_rng(1)
+    for _ in range(300):
+        docs = [rng.integers(0, rng.integers(1, 5), rng.integers(0, 60)) for _ in range(rng.integers(1, 6))]
+        ids, ends = np.concatenate(docs).astype(np.int32), np.cumsum([len(d) for d in docs])
+        seq, doc_end, table, lengths, base = token_ids.compress(ids, ends)
+        assert token_ids.expand(seq, table, base).tolist() == ids.tolist()
+        for k in range(len(table)):
+            assert lengths[k] == len(token_ids.expand(np.array([base + k]), table, base))
+        pairs = collections.Counter()
+        for a, z, d in zip([0, *doc_end[:-1]], doc_end, docs, strict=True):
+            own, before = seq[a:z].tolist(), None
+            assert token_ids.expand(seq[a:z], table, base).tolist() == d.tolist()
+            for p in zip(own, own[1:], strict=False):
+                before = None if p == before else p  # of a run of one symbol every other pair
+                pairs[p] += before is not None
+        assert max(pairs.values(), default=0) < token_ids.LEAST
+
+
+def test_words_of_one_hash_get_their_own_ids(spark, library):
+    import sentencepiece as pieces
+
+    one, other = thue_morse()
+    texts = [one, other, f"{other} {one}"]
+    got = {r.doc_id: r for r in token_ids.token_ids(frame(spark, texts).coalesce(1), public_tokenizers.path("word_bpe_49k.json")).collect()}
+    for k, t in enumerate(texts):
+        own = np.array([*library.encode(t, add_special_tokens=False).ids, 2], "<u4")
+        assert (got[k].n_tokens, got[k].ids_crc32) == (len(own), zlib.crc32(own.tobytes()))
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    rows = {r.doc_id: r.ids for r in sentencepiece.encode(frame(spark, texts).coalesce(1), model).collect()}
+    assert rows == {k: pieces.SentencePieceProcessor(model_file=model).encode(t) for k, t in enumerate(texts)}
+
+
+def test_long_stretches_take_linear_time():
+    import sentencepiece as library
+
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    own, rng = library.SentencePieceProcessor(model_file=model), random.Random(3)
+    texts = [" " * n + tail for n in (64, 65, 79, 80, 81, 113, 5000) for tail in ("", "x", "the")] + ["".join(rng.choices("abcdeé/_日", k=20_000)), "ab" * 9_000]
+    encoder = sentencepiece.Encoder(sentencepiece.Pieces(model))
+    ids, sizes, _, _ = encoder.encode(pa.array(texts))
+    at = 0
+    for t, n in zip(texts, sizes.tolist(), strict=True):
+        assert ids[at : at + n].tolist() == own.encode(t), (t[:5], len(t))
+        at += n
+    began = time.time()
+    ids, sizes, data, _ = encoder.encode(pa.array([" " * 1_000_000, "xyz" * 100_000]))
+    assert time.time() - began < 60 and encoder.decode(ids, sizes)[0].tobytes() == data.tobytes()
+
+
+def test_line_dedup_of_many_blank_lines(spark):
+    line = "one two three four five six seven eight nine ten"
+    text = "\n" * 50_000 + line
+    began = time.time()
+    got = {r.doc_id: (r.text, r.n_deleted) for r in line_dedup.line_dedup(frame(spark, [text, text, "x"])).collect()}
+    assert got == {0: (text, 0), 1: ("", 50_001), 2: ("x", 0)} and time.time() - began < 300
+
+
+def test_added_columns_clash_with_none(spark):
+    schema = "doc_id long, text string, n_lines long, N_Deleted long, score double, contaminated boolean, gone_id long, text_md5 binary, n_chars long"
+    docs = spark.createDataFrame([(k, t, 7, 8, 0.5, None, 1, b"x", 3) for k, t in enumerate(["a b", None])], schema)
+    bench = spark.createDataFrame([(1, "a b")], "item_id long, text string")
+    out = line_dedup.line_dedup(docs)
+    assert out.columns == [*docs.columns, "n_lines_", "n_deleted_"] and [(r.n_lines, r.n_lines_) for r in out.orderBy("doc_id").collect()] == [(7, 1), (7, 1)]
+    out = decontaminate.flagged(docs, bench)
+    assert out.columns == [*docs.columns, "contaminated_"] and [r.contaminated_ for r in out.orderBy("doc_id").collect()] == [True, False]
+    out = toxicity.scored(docs, spark.createDataFrame([(1, 1)], "doc_id long, toxic int"))
+    assert out.columns == [*docs.columns, "score_"] and [r.score_ for r in out.collect()] == [0, 0]
+    import corpus_pipeline as pipeline
+
+    docs.withColumn("toxic", F.lit(1)).select("doc_id", "toxic").write.parquet(path := f"{spark.conf.get('spark.checkpoint.dir')}/clash/labels.parquet")
+    bench.write.parquet(path.replace("labels", "benchmark"))
+    for name, stage in pipeline.STAGES[:-1]:
+        assert stage(spark, docs, path.removesuffix("/labels.parquet")).columns == docs.columns, name
+
+
+def test_ids_must_be_whole_numbers(spark):
+    docs = spark.createDataFrame([("12", "a b c"), (None, "a"), ("x1", "b")], "doc_id string, text string")
+    assert sorted(str(r.doc_id) for r in simhash.simhash_components(docs.where("doc_id is null or doc_id = '12'")).collect()) == ["12", "None"]
+    with pytest.raises(Exception, match="not a whole number"):
+        simhash.simhash_components(docs).collect()
+
+
 def test_sentencepiece_is_the_library(spark):
     import sentencepiece as library
 
@@ -561,6 +645,8 @@ def test_language(spark):
     assert sum(r.lang_pred == lang[r.doc_id] for r in held) / len(held) > 0.95
     odd = language.language_id(frame(spark, [*ODD, "123 ...", "Das ist"])).collect()
     assert {r.doc_id for r in odd if r.lang_pred == "und"} == {0, 1, 2, 3, 12, len(ODD)} and all(0 <= r.score <= 1 for r in odd)
+    lone = frame(spark, ["das ist " * 2_000_000, "the cat"], [None, None]).withColumn("lang", F.when(F.col("text") == "the cat", "en").otherwise("de"))
+    assert set(language.trees(lone, F.lit(True))) == {"de", "en"}  # a language of one text over the bound has a tree too
     assert {r.lang_pred for r in language.language_id(frame(spark, ["abc"]).withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
     assert language.language_id(empty(spark)).count() == 0
 
