@@ -32,6 +32,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -101,39 +102,30 @@ def compress(ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     live = np.flatnonzero(~last)  # a pair that was too rare stays so, and is not looked at again
     while len(live):
         keys = (seq[live] << 32) | seq[live + 1]
-        counted = keys
+        once = np.ones(len(keys), bool)
         same = np.flatnonzero((keys[1:] == keys[:-1]) & (live[1:] == live[:-1] + 1)) + 1  # only runs of one symbol repeat a pair at once
         if len(same):
             first = np.concatenate(([True], same[1:] != same[:-1] + 1))
             begin = same[first][np.cumsum(first) - 1]
-            counted = keys.copy()
-            counted[same[(same - begin) % 2 == 0]] = -1
-        ordered = np.sort(counted)
-        new = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
-        counts = np.diff(np.append(new, len(ordered)))
-        good = (counts >= LEAST) & (ordered[new] >= 0)
-        if not good.any():
+            once[same[(same - begin) % 2 == 0]] = False
+        kind, pairs = pd.factorize(keys)
+        counts = np.bincount(kind[once], minlength=len(pairs))
+        good = np.flatnonzero(counts >= LEAST)
+        if not len(good):
             break
-        chosen, counts = ordered[new[good]], counts[good]
-        rank = np.empty(len(chosen), np.int64)
-        rank[np.argsort(counts, kind="stable")] = np.arange(1, len(chosen) + 1)
-        seen = np.zeros(1 << 20, bool)
-        seen[(chosen * np.int64(-7046029254386353131)) >> 44 & 0xFFFFF] = True
-        own = np.flatnonzero(seen[(keys * np.int64(-7046029254386353131)) >> 44 & 0xFFFFF])
-        rule = np.minimum(np.searchsorted(chosen, keys[own]), len(chosen) - 1)
-        hit = chosen[rule] == keys[own]
-        own, rule = own[hit], rule[hit]
-        rest = live[own]  # still frequent, if not replaced now
-        hit = counted[own] >= 0
-        at, rule = rest[hit], rule[hit]
+        rank = np.zeros(len(pairs), np.int32)
+        rank[good[np.lexsort((pairs[good], counts[good]))]] = np.arange(1, len(good) + 1)
+        own = rank[kind]
+        rest = live[own > 0]  # still frequent, if not replaced now
+        own[~once] = 0
         weight = np.zeros(len(seq) + 2, np.int32)  # of the pair at each place, with one place before and behind
-        weight[at + 1] = rank[rule]
-        keep = (weight[at + 1] > weight[at]) & (weight[at + 1] > weight[at + 2])
-        at, rule = at[keep], rule[keep]
-        used = np.bincount(rule, minlength=len(chosen)) >= LEAST
+        weight[live + 1] = own
+        keep = (own > weight[live]) & (own > weight[live + 2])
+        at, rule = live[keep], kind[keep]
+        used = np.bincount(rule, minlength=len(pairs)) >= LEAST
         keep = used[rule]
         at, rule = at[keep], rule[keep]
-        pair = chosen[used]
+        pair = pairs[used]
         rules.append(np.stack((pair >> 32, pair & 0xFFFFFFFF), axis=1).astype(np.int32))
         lengths = np.concatenate((lengths, lengths[rules[-1][:, 0]] + lengths[rules[-1][:, 1]]))
         seq[at] = top + (np.cumsum(used) - 1)[rule]
@@ -156,7 +148,7 @@ def compress(ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def expand(seq: np.ndarray, table: np.ndarray, base: int) -> np.ndarray:
-    """The ids that symbols stand for."""
+    """The ids that symbols stand for, rule by rule: for a few symbols."""
     while len(seq) and (rule := seq >= base).any():
         size = np.where(rule, 2, 1)
         at = np.cumsum(size) - size
@@ -211,8 +203,17 @@ class Block:
 
     def all(self) -> tuple[np.ndarray, np.ndarray]:
         """(ids, where each document ends in them)."""
-        upto = np.concatenate(([0], np.cumsum(self._sizes(self.seq))))
-        return expand(self.seq, self.table, self.base), upto[self.ends]
+        pool = expand(np.arange(self.base, self.base + len(self.table)), self.table, self.base)
+        begin = np.cumsum(self.lengths) - self.lengths
+        sizes = self._sizes(self.seq)
+        upto = np.concatenate(([0], np.cumsum(sizes)))
+        rule = np.flatnonzero(self.seq >= self.base)
+        out = np.empty(int(upto[-1]), np.int32)
+        out[upto[:-1][self.seq < self.base]] = self.seq[self.seq < self.base]
+        n, own = sizes[rule], self.seq[rule] - self.base
+        skip = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        out[np.repeat(upto[rule], n) + skip] = pool[np.repeat(begin[own], n) + skip]
+        return out, upto[self.ends]
 
 
 def write_shards(docs: DataFrame, tokenizer: str, path: str, id_col: str = "doc_id", text_col: str = "text") -> None:
