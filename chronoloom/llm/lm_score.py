@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANK, Lexicon, Words, buffers, chunks, cut, kept, mix
+from .common import BLANK, Lexicon, Words, buffers, chunks, cut, kept, mix, uncut
 
 #: Frequent tokens that are classes of their own, and classes of the others.
 SINGLE, TAIL = 32, 32
@@ -92,21 +92,26 @@ class Tokens:
         """Each kind's number in the lexicon, -1 if it is not there; ``end`` is the end token's."""
         return np.append(lexicon.find(self.words, self.first), end)
 
-    def back(self, values: np.ndarray, n: int, start: int) -> np.ndarray:
-        """The value n tokens before, ``start`` where the text begins later."""
-        out = np.full(len(values), start, values.dtype)
-        if len(values) > n:
-            out[n:] = np.where(self.rows[n:] == self.rows[:-n], values[:-n], start)
-        return out
-
     def classes(self, singles: Singles) -> np.ndarray:
         number = self.numbers(singles.lexicon, singles.end)
         return np.where(number >= 0, number, self.tail + SINGLE)[self.kind]
 
     def features(self, classes: np.ndarray) -> np.ndarray:
-        """What the history has: the pair of classes before (which names three features), the third before, the word before."""
-        c1, c2, c3 = (self.back(classes, k, CLASSES) for k in (1, 2, 3))
-        return np.stack((c2 * (CLASSES + 1) + c1, c3 + OFFSETS[3], self.back(self.hashed[self.kind], 1, 0) + OFFSETS[4]))
+        return histories(classes, self.hashed[self.kind], self.rows)
+
+
+def histories(classes: np.ndarray, hashed: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Of each token what its history has: the pair of classes before (which names three features), the third before, the word before."""
+
+    def back(values: np.ndarray, n: int, start: int) -> np.ndarray:
+        """The value n tokens before, ``start`` where the text begins later."""
+        out = np.full(len(values), start, np.int64)
+        if len(values) > n:
+            out[n:] = np.where(rows[n:] == rows[:-n], values[:-n], start)
+        return out
+
+    c1, c2, c3 = (back(classes, k, CLASSES) for k in (1, 2, 3))
+    return np.stack((c2 * (CLASSES + 1) + c1, c3 + OFFSETS[3], back(hashed, 1, 0) + OFFSETS[4]))
 
 
 class Singles:
@@ -207,8 +212,21 @@ def vocabulary(docs: DataFrame) -> DataFrame:
     return docs.select("t").mapInArrow(run, "w binary, tail long, c long").groupBy("w").agg(F.min("tail").alias("tail"), F.sum("c").alias("c"))
 
 
-def summed(docs: DataFrame, work) -> tuple[np.ndarray, float]:
-    """The sum over all texts of what ``work(tokens, *tables)`` adds to ``tables``, folded, and of what it returns.
+def coded(docs: DataFrame, singles) -> DataFrame:
+    """(classes, hashed, sizes): the tokens of some texts as one row each of packed numbers, written to the shared folder."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept("lm_score")
+        for b in chunks(batches, "t"):
+            t = Tokens(*buffers(b.column(0)))
+            cells = [t.classes(singles.value).astype(np.uint8), t.hashed[t.kind].astype(np.uint16), t.sizes.astype(np.uint32)]
+            yield pa.RecordBatch.from_arrays([pa.array([c.tobytes()], pa.binary()) for c in cells], ["classes", "hashed", "sizes"])
+
+    return cut(docs.select("t").mapInArrow(run, "classes binary, hashed binary, sizes binary"), "coded", compression="zstd")
+
+
+def summed(codes: DataFrame, work) -> tuple[np.ndarray, float]:
+    """The sum over all texts of what ``work(features, classes, *tables)`` adds to ``tables``, folded, and of what it returns.
 
     Each task sends one row for each row of the table that it has touched; the driver gets one table.
     """
@@ -216,8 +234,10 @@ def summed(docs: DataFrame, work) -> tuple[np.ndarray, float]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept("lm_score")
         sums, more = tables(), 0.0
-        for b in chunks(batches, "t"):
-            more += work(Tokens(*buffers(b.column(0))), *sums)
+        for b in batches:
+            for cells in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+                classes, hashed, sizes = (np.frombuffer(c, kind).astype(np.int64) for c, kind in zip(cells, (np.uint8, np.uint16, np.uint32), strict=True))
+                more += work(histories(classes, hashed, np.repeat(np.arange(len(sizes)), sizes)), classes, *sums)
         table = folded(*sums)
         own = np.flatnonzero(table.any(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(np.append(own, ROWS)), pa.array([*(table[k].tobytes() for k in own), np.array([more]).tobytes()], pa.binary())], ["row", "v"])
@@ -229,7 +249,7 @@ def summed(docs: DataFrame, work) -> tuple[np.ndarray, float]:
                 out[row] = out.get(row, 0.0) + np.frombuffer(v)
         yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64()), pa.array([v.tobytes() for v in out.values()], pa.binary())], ["row", "v"])
 
-    sent = docs.select("t").mapInArrow(run, "row long, v binary")
+    sent = codes.mapInArrow(run, "row long, v binary")
     sums = sent.repartition("row").mapInArrow(add, "row long, v binary").toArrow()  # as many rows as the model has, at most
     out, more = np.zeros((ROWS, CLASSES)), 0.0
     for row, v in zip(sums.column("row").to_pylist(), sums.column("v").to_pylist(), strict=True):
@@ -243,26 +263,25 @@ def summed(docs: DataFrame, work) -> tuple[np.ndarray, float]:
 def train(docs: DataFrame, singles: Singles, rounds: int = ROUNDS) -> tuple[Model, list[float]]:
     """The model, and its log-likelihood (of classes) before each round after the first."""
     context = docs.sparkSession.sparkContext
-    shared = context.broadcast(singles)
+    codes = coded(docs, context.broadcast(singles))
 
-    def count(t: Tokens, pairs: np.ndarray, out: np.ndarray) -> float:
-        classes = t.classes(shared.value)
-        for row, table in zip(t.features(classes), (pairs, out, out), strict=True):
+    def count(features: np.ndarray, classes: np.ndarray, pairs: np.ndarray, out: np.ndarray) -> float:
+        for row, table in zip(features, (pairs, out, out), strict=True):
             table += np.bincount(row * CLASSES + classes, minlength=table.size).reshape(table.shape)
         return 0.0
 
-    model, history = Model(summed(docs, count)[0]), []
+    model, history = Model(summed(codes, count)[0]), []
     for _ in range(rounds):
         book = context.broadcast(model)
 
-        def expect(t: Tokens, pairs: np.ndarray, out: np.ndarray, book=book) -> float:
-            classes = t.classes(shared.value)
-            return book.value.expect(t.features(classes), classes, pairs, out)
+        def expect(*args: np.ndarray, book=book) -> float:
+            return book.value.expect(*args)
 
-        expected, likelihood = summed(docs, expect)
+        expected, likelihood = summed(codes, expect)
         history.append(likelihood)
         model.update(expected)
         book.destroy()
+    uncut(codes)
     return model, history
 
 
