@@ -79,7 +79,7 @@ def millis(col: Column, kind: T.DataType) -> Column:
 
 
 def of_type(col: Column, kind: T.DataType) -> Column:
-    """The value for a Parquet column's type; arrays of strings become JSON arrays, null elements kept."""
+    """The value for a Parquet column's type; decimals become text, arrays, structs and maps JSON, null elements kept."""
     if isinstance(kind, T.BooleanType):
         return boolean(col)
     if isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType)):
@@ -98,8 +98,10 @@ def of_type(col: Column, kind: T.DataType) -> Column:
         return int64(millis(col, kind))
     if isinstance(kind, T.DateType):
         return int32(F.unix_date(col))
-    if isinstance(kind, T.ArrayType):
-        return json(F.to_json(col))
+    if isinstance(kind, T.DecimalType):
+        return string(col.cast("string"))
+    if isinstance(kind, (T.ArrayType, T.StructType, T.MapType)):
+        return json(F.to_json(col, {"ignoreNullFields": "false"}))
     raise TypeError(f"no value type for {kind.simpleString()}")
 
 

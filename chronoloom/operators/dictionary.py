@@ -36,10 +36,14 @@ def intern(values: DataFrame, value_col: str, seq: Column, known: DataFrame | No
     return out if known is None else known.select("value", "code").unionByName(out)
 
 
+def _small(dictionary: DataFrame) -> bool:
+    return dictionary.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+
+
 def resolve(rows: DataFrame, value_col: str, dictionary: DataFrame, code_col: str = "code") -> DataFrame:
     """``rows`` with their codes: 0 for null, -1 for strings that were never interned. Nothing is interned."""
     d = dictionary.select(F.col("value").alias("_value"), F.col("code").alias("_code"))
-    if dictionary.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    if _small(dictionary):
         d = F.broadcast(d)
     joined = rows.join(d, rows[value_col] == F.col("_value"), "left")
     return joined.withColumn(code_col, F.when(F.col(value_col).isNull(), 0).otherwise(F.coalesce("_code", F.lit(-1))).cast("int")).drop("_value", "_code")
@@ -48,7 +52,7 @@ def resolve(rows: DataFrame, value_col: str, dictionary: DataFrame, code_col: st
 def reverse(rows: DataFrame, code_col: str, dictionary: DataFrame, value_col: str = "value") -> DataFrame:
     """``rows`` with the strings of their codes, null for unknown ones."""
     d = dictionary.select(F.col("value").alias(value_col), F.col("code").alias("_code"))
-    if dictionary.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    if _small(dictionary):
         d = F.broadcast(d)
     return rows.join(d, rows[code_col] == F.col("_code"), "left").drop("_code")
 
@@ -67,7 +71,6 @@ def copied(source: DataFrame, target: DataFrame, source_kind: str, target_kind:
     return source
 
 
-def null_code() -> Column:
-    return F.lit(0)
-
-
+def attributes(ops: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """(value, code) of the attributes' names, in order of the first operation that names one."""
+    return intern(ops, "attr", F.col("seq"), known)

@@ -73,3 +73,9 @@ def scan_bytes(rows: DataFrame, key_col: str, prefix: bytes) -> DataFrame:
 def size(ops: DataFrame, keys: Sequence[str]) -> DataFrame:
     """One row: n_entities and is_empty."""
     return entities(ops, keys).agg(F.count(F.lit(1)).alias("n_entities")).withColumn("is_empty", F.col("n_entities") == 0)
+
+
+def first_and_count(rows: DataFrame, order: Sequence[str], n: int) -> DataFrame:
+    """The first ``n`` rows in order, each with ``n_matches``, the number of all rows. Tasks keep ``n`` rows each."""
+    first = rows.orderBy(*order).limit(n)
+    return first.join(F.broadcast(rows.agg(F.count(F.lit(1)).alias("n_matches"))), F.lit(True))  # one row

@@ -31,7 +31,8 @@ def versions(runs: DataFrame, keys: Sequence[str]) -> DataFrame:
     """keys, first_seen, valid_to, state: a map for each stretch of time in which nothing changes; empty states are left out."""
     parts = versions_exploded(runs, keys).groupBy(*keys, "first_seen", "valid_to").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("attr", "value")))).alias("state"))
     order = Window.partitionBy(*keys).orderBy("first_seen")
-    print_of = F.concat_ws("\x00", F.transform(F.map_entries("state"), lambda e: F.concat_ws("\x01", e["key"], V.comparison_key(e["value"]))))
+    # An array of (attribute, comparison key), so that no text in a value can pass for another state.
+    print_of = F.transform(F.map_entries("state"), lambda e: F.struct(e["key"].alias("attr"), V.comparison_key(e["value"]).alias("value")))
     marked = parts.withColumn("_p", print_of).withColumn("_new", F.when((F.lag("_p").over(order) == F.col("_p")) & (F.lag("valid_to").over(order) == F.col("first_seen") - 1), 0).otherwise(1))
     numbered = marked.withColumn("_island", F.sum("_new").over(order))
     return numbered.groupBy(*keys, "_island").agg(F.min("first_seen").alias("first_seen"), F.max("valid_to").alias("valid_to"), F.first("state").alias("state")).drop("_island")

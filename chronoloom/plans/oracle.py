@@ -76,6 +76,9 @@ ORACLE: dict[str, str] = {
     "scan_unsat": f"{CUSTOMERS} where false",
     "scan_bytes": f"""{CODED} select c_custkey, printf('%04X%04X%04X%08X', r_name_code, n_name_code, c_mktsegment_code, c_custkey) as key_hex
         from k where r_name_code = 1 and n_name_code = 1 and c_mktsegment_code = 1 and c_custkey < 65536""",
+    "scan_prefix_first": f"select *, count(*) over () as n_matches from ({CUSTOMERS} where r_name = 'ASIA') order by r_name, n_name, c_mktsegment, c_custkey limit 20",
+    "stats_samples": f"select *, count(*) over () as n_matches from (select distinct * from ({CUSTOMERS})) order by r_name, n_name, c_mktsegment, c_custkey limit 5",
+    "dict_attributes": "select * from (values ('value', 1), ('event_type', 2), ('props', 3)) t(value, code)",
     "size": f"select count(*) as n_entities, count(*) = 0 as is_empty from (select distinct * from ({CUSTOMERS}))",
     "stats": " union all ".join(f"select '{x}' as field, count(*) as size, max(code) + 1 as next_code, (select count(*) from ({CUSTOMERS})) as n_entities from ({codes(x)})" for x in ("r_name", "n_name", "c_mktsegment")),
     "dict_build": " union all ".join(f"select '{x}' as field, value, code from ({codes(x)})" for x in ("r_name", "n_name", "c_mktsegment")),

@@ -202,6 +202,21 @@ def stats(spark, d):
     return out.join(F.broadcast(n), F.lit(True))  # one row
 
 
+def scan_prefix_first(spark, d):
+    """What a shell shows of a prefix: its first 20 keys in order, and how many there are."""
+    found = scans.scan(customers(spark, d), scans.Query(P).set("r_name", "ASIA"))
+    return scans.first_and_count(found, P.names, 20)
+
+
+def stats_samples(spark, d):
+    """The first five entities."""
+    return scans.first_and_count(scans.entities(_customer_ops(spark, d), P.names), P.names, 5)
+
+
+def dict_attributes(spark, d):
+    return dictionary.attributes(event_ops(spark, d, "value", "event_type", "props"))
+
+
 def dict_build(spark, d):
     out = None
     for name, own in _dictionaries(customers(spark, d)).items():
@@ -265,7 +280,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__.rstrip("_"): f
     for f in (
         runs_canonical, history, history_range, state_changes, get_latest, get_at, asof_batch, neighbours, tombstone_asof, timeless_mix, clear_attr, delete_entity,
-        get_all, get_all_at, versions_, scan_all, scan_prefix_1, scan_prefix_2, scan_unsat, scan_bytes, size, stats, dict_build, dict_resolve, dict_reverse,
+        get_all, get_all_at, versions_, scan_all, scan_prefix_1, scan_prefix_2, scan_unsat, scan_bytes, size, stats, scan_prefix_first, stats_samples, dict_attributes, dict_build, dict_resolve, dict_reverse,
         ingest_cells, json_roundtrip, roundtrip_verify, runs_arrival, copy_replay, compact_noop, scan_overlap, ext_interval_join, ext_time_weighted,
     )
 }

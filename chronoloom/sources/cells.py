@@ -65,7 +65,9 @@ def cell(value: Column, kind: T.DataType) -> Column:
         return F.timestamp_millis(value["i"])
     if isinstance(kind, T.DateType):
         return F.date_from_unix_date(value["i"].cast("int"))
-    if isinstance(kind, T.ArrayType):
+    if isinstance(kind, T.DecimalType):
+        return value["s"].cast(kind)
+    if isinstance(kind, (T.ArrayType, T.StructType, T.MapType)):
         return F.from_json(value["s"], kind)
     raise TypeError(f"no cell for {kind.simpleString()}")
 
@@ -79,11 +81,12 @@ def rebuilt(values: DataFrame, keys: Sequence[str], schema: T.StructType, attrib
 
 
 def mismatches(original: DataFrame, again: DataFrame, keys: Sequence[str], attributes: Sequence[str]) -> DataFrame:
-    """One row: n_rows, n_cells, n_mismatches of a full comparison by key. Arrays compare as JSON; floats by value."""
+    """One row: n_rows, n_cells, n_mismatches of a full comparison by key. Maps compare as JSON; floats by value."""
     a = original.select(*keys, *(F.col(c).alias(f"_a_{c}") for c in attributes), F.lit(True).alias("_here"))
     b = again.select(*keys, *(F.col(c).alias(f"_b_{c}") for c in attributes))
     both = a.join(b, list(keys), "full")
-    wrong = sum((F.when(F.col(f"_a_{c}").eqNullSafe(F.col(f"_b_{c}")), 0).otherwise(1) for c in attributes), F.lit(0))
+    text = lambda c, col: F.to_json(F.array(col)) if isinstance(original.schema[c].dataType, T.MapType) else col
+    wrong = sum((F.when(text(c, F.col(f"_a_{c}")).eqNullSafe(text(c, F.col(f"_b_{c}"))), 0).otherwise(1) for c in attributes), F.lit(0))
     return both.agg(F.count(F.lit(1)).alias("n_rows"), (F.count(F.lit(1)) * len(attributes)).alias("n_cells"), F.coalesce(F.sum(wrong), F.lit(0)).alias("n_mismatches"))
 
 

@@ -1,30 +1,42 @@
 """The store: an append-only log of observations in Parquet, published by manifests.
 
-A folder holds ``_schema.json`` (key layout), ``observations/<commit>/`` (operations), ``runs/<commit>/`` (compacted
-runs) and ``_commits/<n>.json``. A commit is visible from when its manifest exists; manifests are created
-exclusively, so of two writers one wins and the other numbers its operations after the winner's and tries again. Files
-without a manifest are leftovers of a crash and are ignored. A reader is pinned to the commit at which it was opened.
-Files go through Hadoop's file system, so any store that Spark can write will do.
+A folder holds ``_schema.json`` (key layout and mode), ``observations/<name>/`` (operations), ``runs/<name>/`` (the runs of a
+compacted log, sorted by key) and ``_commits/<n>.json``. A commit is visible from when its manifest exists; manifests
+are created exclusively, so of two writers one wins and the other numbers its operations after the winner's and tries
+again. Files without a manifest are leftovers of a crash and are ignored. A last manifest that a crash has cut short is moved
+aside by the next writer, who gives its writer time first; each writer reads its manifest again before it counts as
+published. A manifest that is spoilt in the middle is an error for writers. A reader is pinned to the commit at which it was
+opened, and takes the runs of the last compaction up to it for all entities that no later commit names.
+
+``mode`` says which runs are read: ``canonical`` (by time, whatever the order of arrival) or ``arrival`` (as the writers' rules leave
+them, operation by operation). Files go through Hadoop's file system, so any store that Spark can write will do.
 """
 
 from __future__ import annotations
 
 import json
+import time
 import uuid
 import zlib
 from collections.abc import Callable
 from decimal import Decimal
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import values as V
 from ..functions.keys import KeyLayout
-from ..operators import oplog, reads, runs, scans
+from ..operators import arrival, oplog, reads, runs, scans
 
 #: Commits after which ``sync`` compacts.
 COMPACT_EVERY = 64
+#: How often a writer tries to publish, and how long it waits for another's manifest to become whole, in seconds.
+TRIES, PATIENCE = 100, 2.0
+MODES = ("canonical", "arrival")
+#: What reads need of a run.
+RUN = ["first_seen", "last_seen", "valid_to", "value", "is_tombstone", "cleared"]
 
 
 class Files:
@@ -65,6 +77,10 @@ class Files:
             stream.close()
         return True
 
+    def move(self, name: str, to: str) -> None:
+        self.fs.mkdirs(self._path(to).getParent())
+        self.fs.rename(self._path(name), self._path(to))
+
     def bytes(self, folder: str) -> int:
         return self.fs.getContentSummary(self._path(folder)).getLength() if self.exists(folder) else 0
 
@@ -80,14 +96,21 @@ class Closed(RuntimeError):
     pass
 
 
+class Damaged(RuntimeError):
+    pass
+
+
 class Store:
-    def __init__(self, spark: SparkSession, root: str, layout: KeyLayout) -> None:
-        self.spark, self.layout, self.files, self.closed = spark, layout, Files(spark, root), False
+    def __init__(self, spark: SparkSession, root: str, layout: KeyLayout, mode: str = "canonical") -> None:
+        if mode not in MODES:
+            raise ValueError(f"mode is one of {MODES}")
+        self.spark, self.layout, self.mode, self.files, self.closed = spark, layout, mode, Files(spark, root), False
+        self._whole: list[dict] = []  # manifests read so far; they never change
 
     @classmethod
-    def create(cls, spark: SparkSession, root: str, layout: KeyLayout) -> Store:
-        store = cls(spark, root, layout)
-        if not store.files.create("_schema.json", json.dumps({"layout": layout.fingerprint()})):
+    def create(cls, spark: SparkSession, root: str, layout: KeyLayout, mode: str = "canonical") -> Store:
+        store = cls(spark, root, layout, mode)
+        if not store.files.create("_schema.json", json.dumps({"layout": layout.fingerprint(), "mode": mode})):
             raise FileExistsError(root)
         return store
 
@@ -97,32 +120,59 @@ class Store:
         files = Files(spark, root)
         if not files.exists("_schema.json"):
             raise FileNotFoundError(root)
-        own = KeyLayout.from_fingerprint(json.loads(files.read("_schema.json"))["layout"])
+        schema = json.loads(files.read("_schema.json"))
+        own = KeyLayout.from_fingerprint(schema["layout"])
         if layout is not None and layout.fingerprint() != own.fingerprint():
             raise LayoutMismatch(f"the store's key is {own.fingerprint()}, not {layout.fingerprint()}")
-        return cls(spark, root, own)
+        return cls(spark, root, own, schema.get("mode", "canonical"))
 
     @property
     def schema(self) -> T.StructType:
         return T.StructType([T.StructField("seq", T.LongType()), *self.layout.schema().fields, T.StructField("attr", T.StringType()), T.StructField("op", T.StringType()), T.StructField("value", V.VALUE), T.StructField("ts", T.LongType())])
 
+    def _manifest(self, n: int) -> dict | None:
+        try:
+            body = json.loads(self.files.read(f"_commits/{n:012d}.json"))
+            whole = body["check"] == zlib.crc32(json.dumps(body["commit"], sort_keys=True).encode()) and body["commit"]["n"] == n
+        except (ValueError, KeyError, TypeError):
+            return None
+        except Py4JJavaError as e:
+            if "ChecksumException" in str(e):  # the file system knows that the file is spoilt
+                return None
+            raise
+        return body["commit"] if whole else None
+
     def commits(self) -> list[dict]:
-        """Manifests that are whole, in order, up to the first gap."""
-        out = []
-        for name in self.files.names("_commits"):
-            try:
-                body = json.loads(self.files.read(f"_commits/{name}"))
-                good = body["check"] == zlib.crc32(json.dumps(body["commit"], sort_keys=True).encode()) and body["commit"]["n"] == len(out)
-            except (ValueError, KeyError):
-                good = False
-            if not good:
-                break
-            out.append(body["commit"])
-        return out
-
-    def _publish(self, n: int, commit: dict) -> bool:
-        commit = {"n": n} | commit
-        return self.files.create(f"_commits/{n:012d}.json", json.dumps({"commit": commit, "check": zlib.crc32(json.dumps(commit, sort_keys=True).encode())}))
+        """Manifests that are whole, in order, up to the first gap. Those known by now are not read again."""
+        n = len(self.files.names("_commits"))
+        while len(self._whole) < n and self.files.exists(f"_commits/{len(self._whole):012d}.json") and (own := self._manifest(len(self._whole))) is not None:
+            self._whole.append(own)
+        return list(self._whole)
+
+    def _check(self) -> list[dict]:
+        """All commits; an error if whole manifests come after a gap, as nothing may be written or deleted then."""
+        done = self.commits()
+        numbers = [int(name.split(".")[0]) for name in self.files.names("_commits")]
+        if any(n > len(done) and self._manifest(n) is not None for n in numbers):
+            raise Damaged(f"commit {len(done)} is missing or spoilt, but later ones are there")
+        return done
+
+    def _publish(self, commit: Callable[[list[dict]], dict]) -> int:
+        """Publish ``commit`` of the commits so far, behind whatever is published meanwhile; returns its number."""
+        for _ in range(TRIES):
+            done = self._check()
+            n = len(done)
+            name, own = f"_commits/{n:012d}.json", {"n": n} | commit(done)
+            if self.files.create(name, json.dumps({"commit": own, "check": zlib.crc32(json.dumps(own, sort_keys=True).encode())})):
+                if self._manifest(n) == own:
+                    return n
+                continue  # taken for a torn one, and moved
+            began = time.time()
+            while self.files.exists(name) and self._manifest(n) is None and time.time() - began < PATIENCE:
+                time.sleep(PATIENCE / 10)
+            if self.files.exists(name) and self._manifest(n) is None:
+                self.files.move(name, f"_torn/{n:012d}-{uuid.uuid4().hex}.json")
+        raise TimeoutError(f"other writers were first {TRIES} times")
 
     def append(self, ops: DataFrame) -> int:
         """Publish one batch of operations, atomically; their ``seq`` orders them within it. Returns the commit's number."""
@@ -137,16 +187,18 @@ class Store:
         span = self.spark.read.schema(self.schema).parquet(f"{self.files.root}/{folder}").agg(F.min("seq"), F.max("seq")).first()
         if span[0] is None:
             return len(self.commits()) - 1
-        while True:  # behind whatever was published meanwhile
-            done = self.commits()
+        first, n = span[0], span[1] - span[0] + 1
+
+        def commit(done: list[dict]) -> dict:
             base = done[-1]["next"] if done else 0
-            if self._publish(len(done), {"folder": folder, "shift": base - span[0], "next": base + span[1] - span[0] + 1}):
-                return len(done)
+            return {"folder": folder, "shift": base - first, "next": base + n}
 
-    def operations(self, commit: int | None = None) -> DataFrame:
-        """The log up to a commit (all of it by default)."""
+        return self._publish(commit)
+
+    def operations(self, commit: int | None = None, since: int = -1) -> DataFrame:
+        """The log up to a commit (all of it by default), or its part after the commit ``since``."""
         self._open()
-        done = self.commits() if commit is None else self.commits()[: commit + 1]
+        done = (self.commits() if commit is None else self.commits()[: commit + 1])[since + 1 :]
         rows = self.spark.createDataFrame([], self.schema)
         whole = max((k for k, c in enumerate(done) if "all" in c), default=None)
         if whole is not None:
@@ -156,9 +208,9 @@ class Store:
             rows = rows.unionByName(part.withColumn("seq", F.col("seq") + c["shift"]))
         return rows
 
-    def read(self) -> ReadScope:
+    def read(self, mode: str | None = None) -> ReadScope:
         self._open()
-        return ReadScope(self, len(self.commits()) - 1)
+        return ReadScope(self, len(self.commits()) - 1, mode or self.mode)
 
     def write(self) -> WriteScope:
         self._open()
@@ -173,15 +225,24 @@ class Store:
             return work(w)
 
     def compact(self) -> None:
-        """Rewrite the log as one folder sorted by key; what is read does not change, and earlier readers keep their files."""
+        """Rewrite the log as one folder and store the runs of the store's mode, both sorted by key; earlier readers keep their files."""
         self._open()
-        done = self.commits()
+        done = self._check()
         if not done:
             return
-        folder = f"observations/{uuid.uuid4().hex}"
-        keys = self.layout.names
-        self.operations().repartitionByRange(*keys, "attr", "ts").sortWithinPartitions(*keys, "attr", "ts").write.parquet(f"{self.files.root}/{folder}")
-        self._publish(len(done), {"replaces": len(done), "all": folder, "next": done[-1]["next"]})
+        name, keys = uuid.uuid4().hex, self.layout.names
+        upto = ReadScope(self, len(done) - 1, self.mode)
+        upto.operations.repartitionByRange(*keys, "attr", "ts").sortWithinPartitions(*keys, "attr", "ts").write.parquet(f"{self.files.root}/observations/{name}")
+        runs.compacted(upto.runs, keys).write.parquet(f"{self.files.root}/runs/{name}")
+        if len(self.commits()) > len(done):
+            return  # others were at work meanwhile; the next compaction takes this place
+        self._publish(lambda now: {"replaces": len(done), "all": f"observations/{name}", "runs": f"runs/{name}", "mode": self.mode, "next": done[-1]["next"]} if len(now) == len(done) else {"folder": f"observations/{self._nothing()}", "shift": 0, "next": now[-1]["next"]})
+
+    def _nothing(self) -> str:
+        """A folder without operations, for a commit that turned out to be empty."""
+        name = uuid.uuid4().hex
+        self.spark.createDataFrame([], self.schema).write.parquet(f"{self.files.root}/observations/{name}")
+        return name
 
     def sync(self) -> None:
         """Commits are durable when published; every ``COMPACT_EVERY`` of them the log is compacted."""
@@ -201,15 +262,15 @@ class Store:
         self.append(source.operations)
 
     def bytes(self) -> dict[str, int]:
-        return {k: self.files.bytes(k) for k in ("observations", "_commits")}
+        return {k: self.files.bytes(k) for k in ("observations", "runs", "_commits")}
 
     def vacuum(self) -> list[str]:
-        """Delete folders that no manifest names: leftovers of writers that died. No writer may be at work."""
-        named = {c.get("folder", c.get("all", "")).split("/")[-1] for c in self.commits()}
-        gone = [n for n in self.files.names("observations") if n not in named]
-        for n in gone:
-            self.files.delete(f"observations/{n}")
-        return gone
+        """Delete folders that no manifest names: leftovers of writers that died. No writer may be at work; a damaged log is left alone."""
+        named = {c[k] for c in self._check() for k in ("folder", "all", "runs") if k in c}
+        gone = [f"{top}/{n}" for top in ("observations", "runs") for n in self.files.names(top) if f"{top}/{n}" not in named]
+        for name in gone:
+            self.files.delete(name)
+        return [name.split("/")[1] for name in gone]
 
     def close(self) -> None:
         if not self.closed:
@@ -230,8 +291,8 @@ class Store:
 class ReadScope:
     """A snapshot; all reads are of one commit."""
 
-    def __init__(self, store: Store, commit: int) -> None:
-        self.store, self.commit, self.keys, self.closed = store, commit, store.layout.names, False
+    def __init__(self, store: Store, commit: int, mode: str) -> None:
+        self.store, self.commit, self.mode, self.keys, self.closed = store, commit, mode, store.layout.names, False
 
     def _open(self) -> None:
         if self.closed:
@@ -246,37 +307,67 @@ class ReadScope:
     def live(self) -> DataFrame:
         return oplog.since_drop(self.operations, self.keys)
 
-    @property
-    def runs(self) -> DataFrame:
-        return runs.canonical_runs(self.live, self.keys)
-
     def _of(self, df: DataFrame, key: dict) -> DataFrame:
         for k, v in key.items():
             df = df.where(F.col(k).eqNullSafe(F.lit(v)))
         return df
 
+    def _made(self, live: DataFrame) -> DataFrame:
+        """Runs from operations, each with whether a CLEAR has taken its attribute out of the current view."""
+        by = [*self.keys, "attr"]
+        own = arrival.arrival_runs(live, self.keys) if self.mode == "arrival" else runs.canonical_runs(live, self.keys)
+        gone = reads.cleared(live, self.keys).select(*[F.col(c).alias(f"_c_{c}") for c in by], F.lit(True).alias("cleared"))
+        joined = own.join(gone, [F.col(c).eqNullSafe(F.col(f"_c_{c}")) for c in by], "left")
+        return joined.select(*by, *RUN[:-1], F.coalesce("cleared", F.lit(False)).alias("cleared"))
+
+    def _later(self) -> tuple[dict | None, DataFrame]:
+        """(the last compaction up to this commit that holds runs of this mode, the operations after it)."""
+        done = self.store.commits()[: self.commit + 1]
+        at = max((k for k, c in enumerate(done) if c.get("runs") and c["mode"] == self.mode), default=None)
+        return (None, self.operations) if at is None else (done[at], self.store.operations(self.commit, at))
+
+    def runs_of(self, key: dict | None = None) -> DataFrame:
+        """The runs of one entity, or of all. Stored ones are read as they are, so filters reach the files."""
+        self._open()
+        base, later = self._later()
+        pick = (lambda df: df) if key is None else (lambda df: self._of(df, key))
+        if base is None:
+            return self._made(oplog.since_drop(pick(self.operations), self.keys))
+        kinds = [*self.store.layout.schema().fields, T.StructField("attr", T.StringType()), *(T.StructField(c, V.VALUE if c == "value" else T.BooleanType() if c in RUN[-2:] else T.LongType()) for c in RUN)]
+        stored = pick(self.store.spark.read.schema(T.StructType(kinds)).parquet(f"{self.store.files.root}/{base['runs']}"))
+        if base["n"] == self.commit:
+            return stored
+        # Entities that later commits name are made anew from their operations.
+        touched = pick(later).select(*[F.col(k).alias(f"_k_{k}") for k in self.keys]).distinct()
+        if key is not None:
+            return stored if touched.isEmpty() else self._made(oplog.since_drop(pick(self.operations), self.keys))
+        same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in self.keys]
+        return stored.join(touched, same, "left_anti").unionByName(self._made(oplog.since_drop(self.operations.join(touched, same, "left_semi"), self.keys)))
+
+    @property
+    def runs(self) -> DataFrame:
+        return self.runs_of()
+
     def get(self, key: dict, attr: str):
         """The latest value as a row (tag, i, f, s, b), None if there is none."""
-        live = self._of(self.live, key)
-        row = reads.get_latest(runs.canonical_runs(live, self.keys), self.keys, live, attr).select("value").first()
+        row = reads.get_latest(self.runs_of(key).where("not cleared"), self.keys, attr=attr).select("value").first()
         return row and row.value
 
     def get_at(self, key: dict, attr: str, ts: int):
-        row = reads.get_at(runs.canonical_runs(self._of(self.live, key), self.keys), ts, attr).select("value").first()
+        row = reads.get_at(self.runs_of(key), ts, attr).select("value").first()
         return row and row.value
 
     def get_all(self, key: dict) -> dict:
-        live = self._of(self.live, key)
-        return {r.attr: r.value for r in reads.get_latest(runs.canonical_runs(live, self.keys), self.keys, live).select("attr", "value").collect()}
+        return {r.attr: r.value for r in reads.get_latest(self.runs_of(key).where("not cleared"), self.keys).select("attr", "value").collect()}
 
     def get_all_at(self, key: dict, ts: int) -> dict:
-        return {r.attr: r.value for r in reads.get_at(runs.canonical_runs(self._of(self.live, key), self.keys), ts).select("attr", "value").collect()}
+        return {r.attr: r.value for r in reads.get_at(self.runs_of(key), ts).select("attr", "value").collect()}
 
     def history(self, key: dict, attr: str) -> list:
-        return reads.history(runs.canonical_runs(self._of(self.live, key), self.keys), self.keys, attr).collect()
+        return reads.history(self.runs_of(key), self.keys, attr).collect()
 
     def history_range(self, key: dict, attr: str, start: int, end: int) -> list:
-        return reads.history_range(runs.canonical_runs(self._of(self.live, key), self.keys), start, end, attr).orderBy("first_seen").collect()
+        return reads.history_range(self.runs_of(key), start, end, attr).orderBy("first_seen").collect()
 
     def scan(self, query: scans.Query | None = None, up_to: str | None = None) -> DataFrame:
         found = scans.entities(self.live, self.keys)
@@ -327,8 +418,31 @@ class WriteScope:
             raise ValueError("payload over 65535 bytes")
         self.rows.append((len(self.rows), *(key[n] for n in self.store.layout.names), attr, kind, value, ts))
 
-    def put(self, key: dict, attr: str, value: object, ts: int = oplog.TIMELESS) -> None:
+    def _batch(self) -> DataFrame:
+        schema = self.store.schema
+        return self.store.spark.createDataFrame([_cast(r, schema) for r in self.rows], schema)
+
+    def view(self) -> ReadScope:
+        """What a reader would see if the operations put one by one so far were published now."""
+        return _View(self)
+
+    def put(self, key: dict, attr: str, value: object, ts: int = oplog.TIMELESS, report: bool = False) -> bool | None:
+        """With ``report``, whether the state changes: not if the run that holds at ``ts`` has the value already. This reads the store."""
+        changed = None
+        if report:
+            at = self.view()
+            before = arrival.arrival_runs(at._of(at.live, key).where(F.col("attr") == attr), at.keys).where(F.col("first_seen") <= ts).orderBy(F.desc("first_seen"))
+            own = self.store.spark.createDataFrame([(plain(value),)], T.StructType([T.StructField("value", V.VALUE)]))
+            last = before.limit(1).select(V.comparison_key(F.col("value")).alias("v")).unionByName(own.select(V.comparison_key(F.col("value")).alias("v"))).collect()
+            changed = len(last) < 2 or last[0].v != last[1].v
         self._add(key, attr, "PUT", plain(value), ts)
+        return changed
+
+    def size(self) -> int:
+        return self.view().size()
+
+    def is_empty(self) -> bool:
+        return self.view().is_empty()
 
     def put_all(self, key: dict, attributes: dict | None, ts: int = oplog.TIMELESS) -> None:
         if key is None:
@@ -338,12 +452,11 @@ class WriteScope:
 
     def delete(self, key: dict, attr: str | None = None, ts: int | None = None) -> bool:
         """The entity with all history; or an attribute's current value; or, with a time, a tombstone. Whether there was anything to delete."""
-        with self.store.read() as r:
-            live = r._of(r.live, key)
-            mine = [x for x in self.rows if all(x[1 + k] == key[n] for k, n in enumerate(self.store.layout.names))]
-            there = bool(mine) or not scans.entities(live, r.keys).isEmpty()
-            if attr is not None and ts is None:
-                there = there and (any(x[-4] == attr and x[-3] == "PUT" for x in mine) or r.get(key, attr) is not None)
+        now = self.view()
+        if attr is not None and ts is None:
+            there = now.get(key, attr) is not None
+        else:
+            there = not scans.entities(now._of(now.live, key), now.keys).isEmpty()
         if attr is None:
             if there:
                 self._add(key, None, "DROP", None, 0)
@@ -362,10 +475,9 @@ class WriteScope:
         if self.closed:
             return
         self.closed = True
-        schema = self.store.schema
-        batch = self.store.spark.createDataFrame([_cast(r, schema) for r in self.rows], schema) if self.rows else None
+        batch = self._batch() if self.rows else None
         for k, t in enumerate(self.tables):
-            part = t.select([F.col(f.name) for f in schema.fields])
+            part = t.select([F.col(f.name) for f in self.store.schema.fields])
             # Each table comes behind what is there, whatever numbers its rows have.
             batch = part if batch is None else batch.unionByName(part.withColumn("seq", F.col("seq") + (1 << 40) * (k + 1)))
         if batch is not None:
@@ -380,6 +492,25 @@ class WriteScope:
         self.closed = True
 
 
+class _View(ReadScope):
+    """The store as it is now with a write scope's own operations behind."""
+
+    def __init__(self, scope: WriteScope) -> None:
+        store = scope.store
+        super().__init__(store, len(store.commits()) - 1, store.mode)
+        self.scope, self.mine = scope, scope._batch() if scope.rows else None
+
+    @property
+    def operations(self) -> DataFrame:
+        published = self.store.operations(self.commit)
+        return published if self.mine is None else published.unionByName(self.mine.withColumn("seq", F.col("seq") + (1 << 60)))
+
+    def runs_of(self, key: dict | None = None) -> DataFrame:
+        if self.mine is None:
+            return super().runs_of(key)
+        return self._made(oplog.since_drop(self.operations if key is None else self._of(self.operations, key), self.keys))
+
+
 def plain(value: object) -> tuple:
     """A Python value as a tagged one; a tuple of five is taken to be tagged already."""
     if isinstance(value, tuple) and len(value) == 5:

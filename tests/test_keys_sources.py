@@ -1,5 +1,6 @@
 """Keys, dictionaries, ingest, the store and streaming."""
 
+import random
 import struct
 from decimal import Decimal
 
@@ -10,7 +11,8 @@ from chronoloom.functions import keys as K
 from chronoloom.functions import values as V
 from chronoloom.operators import dictionary, oplog, runs, scans
 from chronoloom.sources import cells
-from chronoloom.sources.store import Closed, LayoutMismatch, Store
+from chronoloom.sources import store as stores
+from chronoloom.sources.store import Closed, Damaged, LayoutMismatch, Store
 from chronoloom.streaming import ingest
 
 LAYOUT = K.KeyLayout.of(kind="dict16", id="uint32")
@@ -193,6 +195,88 @@ def test_store_conflict_and_recovery(spark, tmp_path):
     assert Store.open(spark, root).vacuum() == ["orphan"]
 
 
+def test_store_writes_after_a_torn_manifest(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(stores, "PATIENCE", 0.2)
+    store = Store.create(spark, f"file://{tmp_path}/t", LAYOUT)
+    store.writing(lambda w: w.put(key(1), "a", 1, 5))
+    (tmp_path / "t/_commits/000000000001.json").write_text('{"commit": {"n": 1')
+    again = Store.open(spark, f"file://{tmp_path}/t")
+    again.writing(lambda w: w.put(key(1), "a", 2, 6))
+    again.writing(lambda w: w.put(key(1), "b", 3, 6))
+    assert len(again.commits()) == 3 and len(list((tmp_path / "t/_torn").iterdir())) >= 1
+    assert {k: v.i for k, v in Store.open(spark, f"file://{tmp_path}/t").read().get_all(key(1)).items()} == {"a": 2, "b": 3}
+    # Spoilt in the middle: nothing may be written or deleted.
+    (tmp_path / "t/_commits/000000000001.json").write_text("{}")
+    for work in (lambda s: s.writing(lambda w: w.put(key(1), "a", 4, 7)), lambda s: s.vacuum(), lambda s: s.compact()):
+        with pytest.raises(Damaged):
+            work(Store.open(spark, f"file://{tmp_path}/t"))
+    assert len(list((tmp_path / "t/observations").iterdir())) >= 3
+    monkeypatch.setattr(stores, "TRIES", 2)
+    monkeypatch.setattr(stores.Files, "create", lambda *_: False)
+    for n in (1, 2):
+        (tmp_path / f"t/_commits/{n:012d}.json").unlink()
+    with pytest.raises(TimeoutError):
+        Store.open(spark, f"file://{tmp_path}/t")._publish(lambda done: {})
+
+
+def test_write_scope_sees_its_own_operations(spark, tmp_path):
+    store = Store.create(spark, f"file://{tmp_path}/w", LAYOUT)
+    with store.write() as w:
+        assert w.is_empty()
+        assert w.put(key(1), "a", 1, 100, report=True) and not w.put(key(1), "a", 1, 200, report=True)
+        assert w.put(key(1), "a", 2, 150, report=True) and w.put(key(1), "a", 1, 50, report=True)
+        w.put(key(2), "a", 1)
+        assert w.size() == 2 and w.delete(key(2)) and not w.delete(key(2)) and w.size() == 1
+        assert w.delete(key(1), "a") and not w.delete(key(1), "a") and w.size() == 1
+    with store.write() as w:
+        assert not w.delete(key(1), "a") and not w.delete(key(2))
+        assert not w.put(key(1), "a", 2, 150, report=True)
+        assert w.delete(key(1)) and not w.delete(key(1), "a")
+    assert store.read().is_empty()
+
+
+def test_stored_runs_are_what_the_log_gives(spark, tmp_path):
+    rng = random.Random(4)
+    for mode in ("canonical", "arrival"):
+        store = Store.create(spark, f"file://{tmp_path}/{mode}", LAYOUT, mode)
+
+        def some(w, n=25):
+            for _ in range(n):
+                kind = rng.random()
+                own = key(rng.randint(1, 4))
+                if kind < 0.8:
+                    w.put(own, rng.choice("ab"), rng.randint(1, 2), rng.randint(1, 30))
+                else:
+                    w._add(own, *(("a", "CLEAR", None, 0) if kind < 0.93 else (None, "DROP", None, 0)))
+
+        store.writing(some)
+        before = store.read()
+        store.compact()
+        store.writing(lambda w: some(w, 4))
+        now, other = store.read(), store.read("arrival" if mode == "canonical" else "canonical")
+        for scope in (before, store.read(mode), now, other):
+            show = lambda df: sorted(str(r) for r in df.select("kind", "id", "attr", *stores.RUN).collect())
+            assert show(scope.runs) == show(scope._made(scope.live))
+        for n in (1, 3):
+            assert now.get_all(key(n)) == {r.attr: r.value for r in now._of(now._made(now.live), key(n)).where(f"valid_to = {2**63 - 1} and not cleared and not is_tombstone").collect()}
+        store.compact()
+        plan = store.read().runs_of(key(1)).where("first_seen <= 7 and valid_to >= 7 and attr = 'a'")._jdf.queryExecution().executedPlan().toString()
+        pushed = next(x for x in plan.split("\n") if "PushedFilters" in x)
+        assert "Exchange" not in plan and all(c in pushed for c in ("first_seen", "valid_to", "attr", "id"))
+        assert Store.open(spark, f"file://{tmp_path}/{mode}").mode == mode and store.vacuum() == []
+
+
+def test_decimals_and_nested_cells(spark):
+    schema = "id long, d decimal(20,4), s struct<x:int,y:array<string>>, m map<string,int>, l array<struct<k:string>>"
+    rows = [(1, Decimal("12345678901234.5000"), (3, ["a", None]), {"k": 1, "z": None}, [("q",), (None,)]), (2, None, None, None, None), (3, Decimal("-0.0001"), (None, None), {}, [])]
+    df = spark.createDataFrame(rows, schema)
+    names = ["d", "s", "m", "l"]
+    ops = cells.unpivot(df, ["id"], names, F.col("id"), F.lit(0))
+    again = cells.rebuilt(ops.select("id", "attr", "value").unionByName(spark.createDataFrame([(2, "d", None)], "id long, attr string, value " + V.VALUE.simpleString())), ["id"], df.schema, names)
+    assert tuple(cells.mismatches(df, again, ["id"], names).first()) == (3, 12, 0)
+    assert sorted(map(str, again.collect())) == sorted(map(str, df.collect()))
+
+
 def test_streams(spark, tmp_path):
     schema = "seq long, id long, attr string, s string, ts long"
     rows = [(0, 1, "x", "A", 10), (1, 1, "x", "A", 20), (2, 1, "x", "B", 30), (3, 2, "x", "C", 5), (4, 1, "x", "D", 40)]

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from chronoloom.functions import values as V
-from chronoloom.operators import arrival, oplog, reads, runs, scans, versions
+from chronoloom.operators import arrival, dictionary, oplog, reads, runs, scans, temporal_joins, versions
 
 M = oplog.FOREVER
 SCHEMA = "seq long, id long, attr string, op string, s string, ts long"
@@ -188,3 +188,73 @@ def test_put_all_and_size(spark):
 def test_cleared_or_tombstoned_entities_count(spark):
     ops = log(spark, [(1, *puts("A@1")[0]), (1, "x", "CLEAR", None, 0), (2, *puts("-@1")[0]), (3, "x", "CLEAR", None, 0), (4, *puts("A@1")[0]), (4, None, "DROP", None, 0)])
     assert scans.size(oplog.since_drop(ops, ["id"]), ["id"]).first().n_entities == 2
+
+
+def test_versions_compare_states_not_their_text(spark):
+    ops = [("a", "PUT", "x\x00b\x016:y", 10), ("a", "PUT", "x", 20), ("b", "PUT", "y", 20)]
+    own = runs.canonical_runs(log(spark, ops), ["id"])
+    got = [(r.first_seen, len(r.state)) for r in versions.versions(own, ["id"]).orderBy("first_seen").collect()]
+    assert got == [(10, 1), (20, 2)]
+
+
+def writer(ops):
+    """The writers' rules once more, over a plain list: (first_seen, last_seen, valid_to, value) of one attribute."""
+    own = []
+    for ts, v in ops:
+        own.sort()
+        before = [r for r in own if r[0] <= ts]
+        after = [r for r in own if r[0] >= ts]
+        p = before[-1] if before else None
+        if p and p[3] == v:
+            p[1] = max(p[1], ts)
+        elif p and ts <= p[1]:
+            first, last, until, value = p
+            own.remove(p)
+            if first < ts:
+                own.append([first, last, ts - 1, value])
+            if ts < until and last > ts:
+                own += [[ts, ts, ts, v], [ts + 1, last, until, value]]
+            else:
+                own.append([ts, ts, until, v])
+        elif after and after[0][3] == v:
+            after[0][0] = ts
+        else:
+            own.append([ts, ts, after[0][0] - 1 if after else M, v])
+            if p:
+                p[2] = ts - 1
+    return [tuple(r) for r in sorted(own)]
+
+
+def test_arrival_and_replay_of_random_logs(spark):
+    rng = random.Random(8)
+    logs = {e: [(rng.randint(0, 12), rng.choice("AAB-")) for _ in range(rng.randint(1, 14))] for e in range(120)}
+    ops = [(e, "x", "TOMB" if v == "-" else "PUT", None if v == "-" else v, ts) for e, own in logs.items() for ts, v in own]
+    rng.shuffle(ops)
+    logs = {e: [(o[4], o[3] or "-") for o in ops if o[0] == e] for e in logs}
+    made = arrival.arrival_runs(log(spark, ops), ["id"]).persist()
+    got = {}
+    for r in made.orderBy("id", "first_seen").collect():
+        got.setdefault(r.id, []).append((r.first_seen, r.last_seen, r.raw_valid_to, r.value.s or "-"))
+    assert got == {e: writer(own) for e, own in logs.items()}
+    for n in (made, arrival.copy_replay(made, ["id"])):
+        found = {(r.id, r.first_seen): (r.valid_to, r.value.s or "-") for r in n.collect()}
+        for e, own in logs.items():
+            want = writer(own)
+            for t in range(14):
+                now = [x for x in want if x[0] <= t]
+                held = [(k, v) for k, v in found.items() if k[0] == e and k[1] <= t <= v[0]]
+                assert [v[1] for _, v in held] == [x[3] for x in now[-1:]], (e, t)
+
+
+def test_interval_join_of_random_runs(spark):
+    rng = random.Random(5)
+    ops = [(rng.randint(1, 6), rng.choice("xyz"), "PUT" if (v := rng.choice("ABC-")) != "-" else "TOMB", v if v != "-" else None, rng.randint(0, 25)) for _ in range(200)]
+    own = runs.canonical_runs(log(spark, ops), ["id"]).persist()
+    rows = [(r.id, r.attr, r.first_seen, r.valid_to, r.value.s) for r in own.where("not is_tombstone").collect()]
+    want = sorted((a[0], max(a[2], b[2]), min(a[3], b[3]), a[4], b[4]) for a in rows for b in rows if a[0] == b[0] and a[1] == "x" and b[1] == "y" and max(a[2], b[2]) <= min(a[3], b[3]))
+    assert want == sorted((r.id, r.overlap_from, r.overlap_to, r.left_value.s, r.right_value.s) for r in temporal_joins.interval_join(own, ["id"], "x", "y").collect())
+
+
+def test_attribute_names_are_numbered(spark):
+    ops = log(spark, [*puts("1@1", "b"), *puts("1@1", "a"), *puts("2@1", "b"), (1, None, "DROP", None, 0)])
+    assert {r.value: r.code for r in dictionary.attributes(ops).collect()} == {"b": 1, "a": 2}
