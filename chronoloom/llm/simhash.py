@@ -397,9 +397,9 @@ def near_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_col:
     in 60 % of such pairs), and more so above. Links are decided on the shingles themselves. Texts with the same set of
     shingles are one node.
 
-    Pairs are never listed by bucket. Each node that has close ones in its buckets is first verified with one of
-    them, the one that is central to most, which links most of a group to its centre. A node with a single close one
-    is done with that. All others are open, and open nodes of different components are joined on their rarest shingles: of
+    Pairs are never listed by bucket. Each node that has close ones in its buckets is first verified with three of
+    them: the one that is central to most, which links most of a group to its centre, and the least and the greatest,
+    which link groups. A node with a single close one is done with that. All others are open, and open nodes of different components are joined on their rarest shingles: of
     two sets with the similarity, the rarest 20 % of one must meet those of the other, at places that leave room for enough
     common ones (prefix and position filters, which lose nothing). What passes is verified like the rest. So no
     bucket's size matters for the result, and a group of near copies or texts of one template costs about its size.
@@ -487,11 +487,13 @@ def near_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_col:
     blobs = worded.select("bits", "node").mapInArrow(explode, "part long, keys binary, at binary, members binary")
     met = blobs.repartition(tasks, "part").sortWithinPartitions("part").mapInArrow(pair, "node long, partner long, weight long, open boolean")
     best = F.max_by("partner", F.struct("weight", -F.col("partner")))
-    near = cut(met.groupBy("node").agg(best.alias("partner"), (F.max("open") | (F.min("partner") != F.max("partner"))).alias("open")), "near")
+    low, high = F.min("partner"), F.max("partner")
+    near = cut(met.groupBy("node").agg(F.array(best, low, high).alias("partners"), (F.max("open") | (low != high)).alias("open")), "near")
     wanted = near.select("node").join(nodes.select("node", "first"), "node")
     sets = cut(rows.join(wanted, F.col("m") == F.col("first")).select("node", "t").mapInArrow(shingles, "node long, shingles array<long>").dropDuplicates(["node"]), "shingles")
 
-    pairs = near.where("node != partner").select(F.greatest("node", "partner").alias("node"), F.least("node", "partner").alias("root")).distinct()
+    partners = near.select("node", F.explode("partners").alias("partner")).where("node != partner")
+    pairs = partners.select(F.greatest("node", "partner").alias("node"), F.least("node", "partner").alias("root")).distinct()
     roots = components(verified(pairs))
     left = near.where("open").select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
     roots = components(roots.unionByName(verified(cut(prefix_pairs(left.join(sets, "node"), similarity), "pairs"))))
