@@ -296,6 +296,8 @@ TABLES = 12
 WORDS = 9
 #: Words of the fingerprint that travel with a key; at two of them unrelated texts are practically never taken for close.
 CARRIED = 2
+#: Cells by which shingles are counted: two sets share at most the sum of the lesser counts.
+CELLS = 128
 #: Keys that one task works on at a time, about.
 KEYS_AT_ONCE = 4_000_000
 
@@ -466,7 +468,9 @@ def near_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_col:
             sets = equal_sets(b.column(1).to_pylist(), size)
             ends = np.cumsum([0, *map(len, sets)])
             flat = np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], ["node", "shingles"])
+            counts = np.bincount(np.repeat(np.arange(len(sets)), np.diff(ends)) * CELLS + (flat & (CELLS - 1)), minlength=len(sets) * CELLS)
+            cells = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * CELLS, pa.int32()), pa.array(counts, pa.int32()))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)), cells], ["node", "shingles", "cells"])
 
     def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -490,7 +494,7 @@ def near_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_col:
     low, high = F.min("partner"), F.max("partner")
     near = cut(met.groupBy("node").agg(F.array(best, low, high).alias("partners"), (F.max("open") | (low != high)).alias("open")), "near")
     wanted = near.select("node").join(nodes.select("node", "first"), "node")
-    sets = cut(rows.join(wanted, F.col("m") == F.col("first")).select("node", "t").mapInArrow(shingles, "node long, shingles array<long>").dropDuplicates(["node"]), "shingles")
+    sets = cut(rows.join(wanted, F.col("m") == F.col("first")).select("node", "t").mapInArrow(shingles, "node long, shingles array<long>, cells array<int>").dropDuplicates(["node"]), "shingles")
 
     partners = near.select("node", F.explode("partners").alias("partner")).where("node != partner")
     pairs = partners.select(F.greatest("node", "partner").alias("node"), F.least("node", "partner").alias("root")).distinct()
@@ -503,25 +507,30 @@ def near_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_col:
 
 
 def prefix_pairs(members: DataFrame, similarity: float) -> DataFrame:
-    """(node, root): pairs of nodes of different roots that may have the similarity, from (node, root, shingles). None is lost.
+    """(node, root): pairs of nodes of different roots that may have the similarity, from (node, root, shingles, cells). None is lost.
 
     In the order of all shingles by how many nodes have them, two sets of n and m shingles with the similarity t have
     t / (1 + t) * (n + m) in common, so the first that they share is at most that far from either's end, and among the
-    first n - t * n + 1 of each. Shingles of one node only come first in that order and are not listed.
+    first n - t * n + 1 of each. Shingles of one node only come first in that order and are not listed. Nor can two sets share
+    more than the sum of the lesser of their counts, cell by cell.
     """
     share = similarity / (1 + similarity)
     whole = lambda c: F.ceil(c - F.lit(1e-9)).cast("int")
     each = members.select("node", "root", F.size("shingles").alias("n"), F.explode("shingles").alias("e"))
+    cells = members.select("node", "cells")
     counts = each.groupBy("e").agg(F.count(F.lit(1)).alias("c"), (F.min("root") != F.max("root")).alias("live")).where("c > 1")
     own = F.array_sort(F.collect_list(F.struct("c", "e", "live"))).alias("own")
     listed = each.join(counts, "e").groupBy("node", "root", "n").agg(own).withColumn("alone", F.col("n") - F.size("own"))
     prefix = F.slice("own", F.lit(1), F.greatest(F.lit(0), F.col("n") - whole(F.col("n") * similarity) + 1 - F.col("alone")))
     places = cut(listed.select("node", "root", "n", "alone", F.posexplode(prefix).alias("k", "x")).where("x.live").select("node", "root", "n", (F.col("alone") + F.col("k")).alias("at"), "x.e"), "prefixes")
-    short = places.where(F.col("n") - F.col("at") >= whole(F.col("n") * 2 * share)).toDF("a", "ra", "na", "ata", "e")
-    long = places.toDF("b", "rb", "nb", "atb", "e")
-    room = F.least(F.col("na") - F.col("ata"), F.col("nb") - F.col("atb")) >= whole((F.col("na") + F.col("nb")) * share)
+    places = places.join(cells, "node").select("node", "root", "n", "at", "e", "cells")
+    short = places.where(F.col("n") - F.col("at") >= whole(F.col("n") * 2 * share)).toDF("a", "ra", "na", "ata", "e", "ca")
+    long = places.toDF("b", "rb", "nb", "atb", "e", "cb")
+    wanted = whole((F.col("na") + F.col("nb")) * share)
+    room = F.least(F.col("na") - F.col("ata"), F.col("nb") - F.col("atb")) >= wanted
+    common = F.aggregate(F.zip_with("ca", "cb", lambda x, y: F.least(x, y)), F.lit(0), lambda x, y: x + y) >= wanted
     ordered = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
-    met = short.join(long, (short["e"] == long["e"]) & (F.col("ra") != F.col("rb")) & ordered & room)
+    met = short.join(long, (short["e"] == long["e"]) & (F.col("ra") != F.col("rb")) & ordered & room & common)
     return met.select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("root")).distinct()
 
 

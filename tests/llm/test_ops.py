@@ -281,7 +281,8 @@ def test_prefix_pairs_lose_nothing(spark):
     for k in range(0, 80, 2):  # near ones, by a few changes
         sets[k + 1] = set(sets[k]) ^ set(rng.sample(range(45), rng.randint(0, 4))) or {1}
     roots = [rng.randint(0, 30) for _ in sets]
-    rows = spark.createDataFrame([(k, r, sorted(s)) for k, (s, r) in enumerate(zip(sets, roots, strict=True))], "node long, root long, shingles array<long>")
+    cells = lambda s: np.bincount(sorted(s), minlength=simhash.CELLS).tolist()
+    rows = spark.createDataFrame([(k, r, sorted(s), cells(s)) for k, (s, r) in enumerate(zip(sets, roots, strict=True))], "node long, root long, shingles array<long>, cells array<int>")
     for t in (0.5, 0.8, 1.0):
         got = {tuple(r) for r in simhash.prefix_pairs(rows, t).collect()}
         want = {(a, b) for a in range(80) for b in range(a) if roots[a] != roots[b] and len(sets[a] & sets[b]) >= t * len(sets[a] | sets[b])}
