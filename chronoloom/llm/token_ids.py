@@ -27,6 +27,7 @@ is an error. Other columns are not read, whatever their names. An empty table gi
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
 from collections.abc import Iterator
@@ -57,6 +58,7 @@ class Encoder(Remembered):
         from tokenizers import Tokenizer
 
         super().__init__(REMEMBERED)
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core; threads of the library's own would contend for the others
         self.library = Tokenizer.from_file(path)
 
     def fresh(self, words: list[bytes]) -> list[list[int]]:
