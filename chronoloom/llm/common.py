@@ -309,6 +309,12 @@ class Remembered:
     def fresh(self, words: list[bytes]) -> list[list[int]]:
         raise NotImplementedError
 
+    def flat(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words, ids in each) of new words."""
+        ids = self.fresh(words)
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        return np.fromiter((x for y in ids for x in y), np.int32, int(sizes.sum())), sizes
+
     def _reset(self) -> None:
         self.slots: dict[bytes, int] = {}
         self.at = np.zeros(1 << 16, np.int64)
@@ -319,9 +325,7 @@ class Remembered:
     def _learn(self, words: list[bytes]) -> None:
         for k in range(0, len(words), self.batch):
             part = words[k : k + self.batch]
-            ids = self.fresh(part)
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-            flat = np.fromiter((x for y in ids for x in y), np.int32, int(sizes.sum()))
+            flat, sizes = self.flat(part)
             n = len(self.slots)
             while len(self.pool) < self.used + len(flat):
                 self.pool = np.concatenate((self.pool, np.zeros_like(self.pool)))

@@ -353,6 +353,19 @@ def test_token_ids(spark, library):
     assert token_ids.token_ids(empty(spark), public_tokenizers.path("word_bpe_49k.json")).count() == 0
 
 
+def test_words_encoded_together(library):
+    """Words that are given to the library in one text get the ids they have alone, those that hold the mark too."""
+    rng = np.random.default_rng(7)
+    signs = ["a", "b", "'s", "'", "!", "0", "é", "e", "\u0301", "\u00a0", "\u3000", "\x85", "Σ", "ā", "</w>", "<|endoftext|>", "<", "|", "ᄒ", "ᅡ", "\x00", "\x02", token_ids.MARK]
+    own = token_ids.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    assert own.mark is not None
+    for most in (len(signs) - 1, len(signs)):  # groups without the mark, and with it
+        words = ["".join(rng.choice(signs[:most], rng.integers(1, 7))) for _ in range(3000)]
+        want = [library.encode(w, add_special_tokens=False).ids for w in words]
+        flat, sizes = own.flat([w.encode() for w in words])
+        assert sizes.tolist() == [len(x) for x in want] and flat.tolist() == [i for x in want for i in x]
+
+
 def test_grammar_round_trip_and_access():
     rng = np.random.default_rng(3)
     docs = [rng.integers(0, 5, n) for n in (0, 1, 400, 3, 900)] + [np.full(300, 7), np.tile([1, 2, 3, 4], 200)]
