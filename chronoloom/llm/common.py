@@ -12,6 +12,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -346,9 +347,11 @@ class Remembered:
         distinct = [raw[a:z] for a, z in zip(words.starts[first].tolist(), words.ends[first].tolist(), strict=True)]
         if len(self.slots) + len(distinct) > self.most:
             self._reset()
-        slots = self.slots
-        self._learn(list({w for w in distinct if w not in slots}))
-        slot = np.fromiter((slots[w] for w in distinct), np.int64, len(distinct))[number]
+        known = np.fromiter(map(self.slots.get, distinct, repeat(-1)), np.int64, len(distinct))
+        new = np.flatnonzero(known < 0)
+        known[new] = len(self.slots) + np.arange(len(new))
+        self._learn([distinct[k] for k in new.tolist()])
+        slot = known[number]
         sizes = self.size[slot]
         ends = np.cumsum(sizes)
         ids = self.pool[np.arange(int(ends[-1])) + np.repeat(self.at[slot] - ends + sizes, sizes)]
